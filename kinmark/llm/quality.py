@@ -47,10 +47,10 @@ def features(text: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     out_off = np.concatenate([[0], np.cumsum(counts)])
     out = np.empty(out_off[-1], np.int64)
     mask = tv.U64((1 << bits) - 1)
-    for part, first, before in ((h, t.first, 0), (two, first2, t.counts), (forms, first2, t.counts + np.diff(first2))):
+    for single, part, first, before in ((1, h, t.first, 0), (0, two, first2, t.counts), (0, forms, first2, t.counts + np.diff(first2))):
         n = np.diff(first)
         at = np.repeat(out_off[:-1] + before - first[:-1], n) + np.arange(len(part))
-        out[at] = (tv.mix64(part + tv.U64(before is 0)) & mask).astype(np.int64)  # noqa: F632
+        out[at] = (tv.mix64(part + tv.U64(single)) & mask).astype(np.int64)
     return out, out_off
 
 
