@@ -28,10 +28,11 @@ class Scratch:
         self.at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, *by: str) -> DataFrame:
+        """Write the rows, in a folder for each value of the columns ``by``, and read them."""
         self._n += 1
         path = f"{self.at}/{self._n}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kinmark_path = path
         return out
