@@ -13,6 +13,7 @@ from .license_scan import license_matches
 from .mixing import mix_sources, mixing_sql
 from .near_dedup import duplicate_groups
 from .packing import pack_documents
+from .pii import personal_spans
 from .quality import quality_scores
 from .secret_scan import secret_spans
 from .token_shards import token_shards
@@ -55,11 +56,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_spans(_table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_audio, op2_secret_scan, op3_license_scan, op4_near_dedup, op5_token_shards, op6_packing, op7_quality, op8_mixing, op10_top_k)
+    f.__name__: f for f in (op1_audio, op2_secret_scan, op3_license_scan, op4_near_dedup, op5_token_shards, op6_packing, op7_quality, op8_mixing, op9_pii, op10_top_k)
 }
 ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing_sql(), "op10_top_k": top_k_sql()}
