@@ -84,7 +84,8 @@ def pairs_of_documents(clusters: DataFrame, max_size: int = 10, **options) -> Da
     """The same for (k, v) documents as they are read: map-only, in the order of v."""
     sized = clusters.where(F.size("v").between(2, max_size)).select("k", "v", F.posexplode("v").alias("pos", "r"))
     one = sized.select("k", "r", F.slice("v", F.col("pos") + 2, F.size("v")).alias("rest")).where(F.size("rest") > 0)
-    return one.select("k", feature_struct("r", **options).alias("a"), F.explode("rest").alias("r2")).select("k", "a", feature_struct("r2", **options).alias("b"))
+    first = one.select("k", feature_struct("r", **options).alias("a"), "rest")
+    return first.select("k", "a", F.explode("rest").alias("r2")).select("k", "a", feature_struct("r2", **options).alias("b"))
 
 
 def verify_clusters(clusters: DataFrame, max_size: int = 10, rules: list[Rule] | None = None, **options) -> DataFrame:

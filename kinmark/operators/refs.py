@@ -23,5 +23,5 @@ def split_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
 def verify_refs(groups: DataFrame, rules: list[Rule] | None = None, **options) -> DataFrame:
     """Rows (k, ident_a, ident_b, status, reason), one per reference; map-only."""
     found, _ = split_groups(groups)
-    one = found.select("k", feature_struct("pivot", **options).alias("a"), F.explode("refs").alias("r")).select("k", "a", feature_struct("r", **options).alias("b"))
+    one = found.select("k", feature_struct("pivot", **options).alias("a"), "refs").select("k", "a", F.explode("refs").alias("r")).select("k", "a", feature_struct("r", **options).alias("b"))
     return verify_pairs(one.select("k", F.col("a.ident").alias("ident_a"), F.col("b.ident").alias("ident_b"), "a", "b"), rules)

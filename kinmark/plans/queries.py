@@ -1,10 +1,385 @@
-"""Registered queries of the record-linkage operators, and their SQL."""
+"""Registered queries of the record-linkage operators, and their SQL.
+
+The driver's tables hold no bibliographic records, so a *records view* is made of documents, in
+Spark and in SQL alike: the first line is the title, the words after it are authors, and identifiers,
+years and types follow from the id. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import citations as c
+from ..functions import scalars as s
+from ..functions.slugs import nysiis, scorable_slug
+from ..operators import cluster, closest, lists, match, refs, rules
+from ..operators.features import with_features
+from ..schema import AUTHOR, EXT_IDS, EXTRA, ID_TYPES
+from ..sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- The records view
+
+VIEW = """
+WITH parts AS (SELECT *, split_part(text, chr(10), 1) AS title FROM documents),
+records AS (
+  SELECT doc_id AS ident, title, source AS container_id, CAST(1980 + doc_id % 45 AS INTEGER) AS release_year, '10.' || (1000 + doc_id % 7) || '/' || doc_id AS doi,
+    CASE doc_id % 4 WHEN 0 THEN 'article-journal' WHEN 1 THEN 'article' WHEN 2 THEN 'chapter' ELSE 'dataset' END AS release_type,
+    list_filter(string_split(substr(text, length(title) + 2), ' ')[1:3], lambda x: x <> '') AS names,
+    trim(regexp_replace(regexp_replace(lower(title), '[^0-9a-z \\t\\n\\r\\x0B\\f]', '', 'g'), '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g')) AS slug
+  FROM parts)"""
+SLUG_SQL = "trim(regexp_replace(regexp_replace(lower({x}), '[^0-9a-z \\t\\n\\r\\x0B\\f]', '', 'g'), '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g'))"
+TERMS_SQL = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+TOKENS_SQL = "list_filter(regexp_split_to_array(lower({x}), '[\\s\\x0B]+'), lambda x: x <> '')"
+
+
+#: DuckDB's edit distance counts bytes: accented lower-case letters become unused capitals, one byte each.
+ONE_BYTE = "translate({x}, 'àáâãäåæçèéêëìíîïñòóôõöùúûüÿœßÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123')"
+
+
+def as_records(rows: DataFrame, ident: Column, doi: Column, title: Column, names: Column, year: Column, kind: Column, container: Column) -> DataFrame:
+    """Rows in the engine's record schema."""
+    ids = F.struct(*[(doi if t == "doi" else F.lit(None).cast("string")).alias(t) for t in ID_TYPES]).cast(EXT_IDS)
+    none = F.lit(None).cast("string")
+    return rows.select(
+        ident.alias("ident"), none.alias("work_id"), container.alias("container_id"), title.alias("title"), kind.alias("release_type"), none.alias("release_stage"), year.cast("int").alias("release_year"), none.alias("publisher"),
+        none.alias("volume"), none.alias("issue"), none.alias("pages"), F.transform(names, lambda n: F.struct(n, none, none)).cast(f"array<{AUTHOR}>").alias("contribs"), ids.alias("ext_ids"), F.lit(None).cast(EXTRA).alias("extra"),
+    )
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1))
+    i = F.col("doc_id")
+    after = F.substring(F.col("text"), F.length("title") + 2, F.length("text"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("article-journal", "article", "chapter", "dataset")]), (i % 4 + 1).cast("int"))
+    doi = F.concat(F.lit("10."), 1000 + i % 7, F.lit("/"), i)
+    return as_records(docs, i, doi, F.col("title"), F.filter(F.slice(F.split(after, " "), 1, 3), lambda x: x != ""), 1980 + i % 45, kind, F.col("source"))
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as records: the first line is the title."""
+    rows = table(spark, sf_dir, "benchmark")
+    none = F.lit(None).cast("string")
+    return as_records(rows, F.col("item_id"), none, F.substring_index("text", "\n", 1), F.array().cast("array<string>"), F.lit(None), none, none)
+
+
+# ---- Scalar functions, each over a whole table: name -> (table, key, Spark expression, SQL)
+
+_TS = "split_part(text, chr(10), 1)"
+
+
+def _title() -> Column:
+    return F.substring_index("text", "\n", 1)
+
+
+def _raw_doi() -> Column:
+    return F.concat(F.lit(" DOI: http://dx.doi.org/10."), 1000 + F.col("o_orderkey") % 9000, F.when(F.col("o_orderkey") % 3 == 0, "//").otherwise("/"), F.col("o_orderpriority"), F.lit("."), F.col("o_custkey"), F.lit("\t"))
+
+
+_RAW_DOI_SQL = "(' DOI: http://dx.doi.org/10.' || (1000 + o_orderkey % 9000) || CASE WHEN o_orderkey % 3 = 0 THEN '//' ELSE '/' END || o_orderpriority || '.' || o_custkey || chr(9))"
+
+
+def _pages() -> Column:
+    return F.concat(F.when(F.col("l_linenumber") == 1, "p").when(F.col("l_linenumber") == 2, "E").otherwise(""), F.col("l_orderkey") % 700, F.when(F.col("l_linenumber") == 3, "").otherwise(F.concat(F.lit("-"), F.col("l_partkey") % 900)))
+
+
+_PAGES_SQL = "(CASE l_linenumber WHEN 1 THEN 'p' WHEN 2 THEN 'E' ELSE '' END || (l_orderkey % 700) || CASE WHEN l_linenumber = 3 THEN '' ELSE '-' || (l_partkey % 900) END)"
+_GRAMS_SQL = "flatten(list_transform({t}, lambda t: regexp_extract_all(t, '(?s).{{1,2}}')))"
+_JACCARD_SQL = "CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({a}), list_distinct({b})))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
+_SCALARS: dict[str, tuple[str, str, Callable[[], Column], str]] = {
+    "slug_title": ("documents", "doc_id", lambda: s.slug(_title()), SLUG_SQL.format(x=_TS)),
+    "title_tokens": ("documents", "doc_id", lambda: F.array_join(s.tokens(_title()), "|"), f"array_to_string({TOKENS_SQL.format(x=_TS)}, '|')"),
+    "title_chunks": ("documents", "doc_id", lambda: F.array_join(s.chunks(_title(), 3), "|"), f"array_to_string(regexp_extract_all({_TS}, '(?s).{{1,3}}'), '|')"),
+    "title_ngrams": ("documents", "doc_id", lambda: F.array_join(s.token_ngrams(_title()), "|"), f"array_to_string({_GRAMS_SQL.format(t=TOKENS_SQL.format(x=_TS))}, '|')"),
+    "num_project": ("documents", "doc_id", lambda: F.md5(s.num_project("text")), "md5(regexp_replace(text, '[0-9]+', '<NUM>', 'g'))"),
+    "chem_flag": ("documents", "doc_id", lambda: s.has_chemical_formula("text"), "regexp_matches(text, '[A-Z]{1,2}[0-9]{1,2}')"),
+    "clean_doi": ("orders", "o_orderkey", lambda: s.clean_doi(_raw_doi()), f"(SELECT CASE WHEN substr(d, 8, 2) = '//' THEN substr(d, 1, 8) || substr(d, 10) ELSE d END FROM (SELECT substr(v, instr(v, '10.')) AS d FROM (SELECT regexp_replace(lower({_RAW_DOI_SQL}), '^\\s+|\\s+$', '', 'g') AS v)))"),
+    "doi_prefix": ("orders", "o_orderkey", lambda: s.doi_prefix(F.when(F.col("o_orderkey") % 5 > 0, s.clean_doi(_raw_doi())).otherwise(F.col("o_orderstatus"))), "CASE WHEN o_orderkey % 5 > 0 THEN '10.' || (1000 + o_orderkey % 9000) END"),
+    "year_parse": ("orders", "o_orderkey", lambda: s.year_or_date(F.when(F.col("o_orderkey") % 2 == 0, ""), F.date_format("o_orderdate", "yyyy-MM-dd")), "CAST(year(o_orderdate) AS INTEGER)"),
+    "page_count": ("lineitem", "l_orderkey, l_linenumber", lambda: s.parse_pages(_pages())["count"], f"""(SELECT CASE WHEN TRY_CAST(a AS BIGINT) <= TRY_CAST(f AS BIGINT) THEN TRY_CAST(f AS BIGINT) - TRY_CAST(a AS BIGINT) + 1 END FROM (
+      SELECT a, CASE WHEN length(b) <= 2 AND right(a, length(b)) < b THEN substr(a, 1, greatest(length(a) - length(b), 0)) || b ELSE b END AS f FROM (
+        SELECT nullif(regexp_extract(v, '^([0-9]+)-([0-9]+)', 1), '') AS a, regexp_extract(v, '^([0-9]+)-([0-9]+)', 2) AS b FROM (SELECT regexp_replace({_PAGES_SQL}, '^[pPeE]', '') AS v))))"""),
+    "cut_column": ("customer", "c_custkey", lambda: F.concat(s.cut(F.concat_ws("\t", "c_name", "c_mktsegment"), 1), F.lit("/"), s.cut("c_name", 4)), "c_mktsegment || '/'"),
+    "arxiv_strip": ("part", "p_partkey", lambda: s.strip_arxiv(F.concat(F.lit("arXiv:"), F.col("p_brand"))), "p_brand"),
+    "html_title": ("pages", "page_id", lambda: s.strip(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)), "regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '^\\s+|\\s+$', '', 'g')"),
+    "url_fix": ("pages", "page_id", lambda: s.fix_url(F.concat(F.lit("<"), "url", F.lit("> seen"))), "regexp_replace(url, '>.*', '')"),
+    "json_path": ("events", "event_id", lambda: F.get_json_object("props", "$.k").cast("long"), "CAST(json_extract_string(props, '$.k') AS BIGINT)"),
+    "hit_total": ("events", "event_id", lambda: s.hit_total(F.concat(F.lit('{"hits":{"total":'), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"value":'), "event_id", F.lit("}"))).otherwise(F.col("event_id").cast("string")), F.lit("}}"))), "event_id"),
+    "denylist_flag": ("documents", "doc_id", lambda: s.slug(_title()).isin(list(lists.TITLES)) | F.lower(_title()).isin(list(lists.TITLES)), f"({SLUG_SQL.format(x=_TS)} IN ({{titles}}) OR lower({_TS}) IN ({{titles}}))".replace("{titles}", ", ".join(f"'{t}'" for t in lists.TITLES))),
+    "key_present": ("documents", "doc_id", lambda: F.from_json(F.concat(F.lit('{"a":'), F.when(F.col("doc_id") % 3 == 0, "{}").otherwise("null"), F.lit("}")), "a struct<b:string>")["a"].isNotNull(), "doc_id % 3 = 0"),
+}
+for _name, (_table, _key, _expr, _sql) in _SCALARS.items():
+    QUERIES[_name] = lambda spark, sf_dir, t=_table, k=_key, e=_expr: table(spark, sf_dir, t).select(*k.split(", "), e().alias("value"))
+    ORACLE_SQL[_name] = f"SELECT {_key}, {_sql} AS value FROM {_table}"
+
+
+@query(f"SELECT a.doc_id, {_JACCARD_SQL.format(a='a.g', b='b.g')} AS score FROM (SELECT doc_id, source, {_GRAMS_SQL.format(t=TOKENS_SQL.format(x=_TS))} AS g FROM documents) a, (SELECT {_GRAMS_SQL.format(t=TOKENS_SQL.format(x='first'))} AS g FROM (SELECT {_TS} AS first FROM documents ORDER BY doc_id LIMIT 1)) b")
+def author_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title against the first document's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _title().alias("t"))
+    one = docs.orderBy("doc_id").limit(1).select(F.col("t").alias("u"))
+    return docs.crossJoin(F.broadcast(one)).select("doc_id", s.author_similarity("t", "u").alias("score"))  # one row
+
+
+@query()
+def scorable_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scorable_slug(_title()).alias("value"))
+
+
+@query()
+def nysiis_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", nysiis("c_mktsegment").alias("value"))
+
+
+# ---- Clusters
+
+
+@query(VIEW + " SELECT slug AS k, count(*) AS n, array_to_string(list(ident ORDER BY ident), ',') AS idents FROM records WHERE slug <> '' GROUP BY slug HAVING count(*) BETWEEN 2 AND 10000")
+def cluster_by_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = cluster.cluster_documents(records(spark, sf_dir), "slug", min_size=2)
+    return docs.select("k", F.size("v").cast("long").alias("n"), F.array_join(F.transform("v", lambda r: r["ident"]), ",").alias("idents"))
+
+
+@query(VIEW + " SELECT size, count(*) AS clusters FROM (SELECT count(*) AS size FROM records WHERE slug <> '' GROUP BY slug) GROUP BY size")
+def cluster_size_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cluster_sizes(records(spark, sf_dir))
+
+
+_DENIED = ", ".join(f"'{t}'" for t in lists.TITLES)
+
+
+@query(VIEW + f""" SELECT count(*) FILTER (slug IS NULL) AS key_fail, count(*) FILTER (slug = '') AS key_empty, count(*) FILTER (slug IN ({_DENIED})) AS key_denylist,
+  count(*) FILTER (slug <> '' AND slug NOT IN ({_DENIED})) AS key_ok, count(DISTINCT slug) FILTER (slug <> '' AND slug NOT IN ({_DENIED})) AS num_clusters FROM records""")
+def cluster_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cluster_counters(records(spark, sf_dir), denied=lists.TITLES)
+
+
+PAIRS_SQL = """,
+members AS (SELECT *, count(*) OVER (PARTITION BY slug) AS n FROM records WHERE slug <> ''),
+pairs AS (SELECT a.slug AS k, a.ident AS ident_a, b.ident AS ident_b, a, b FROM members a JOIN members b ON a.slug = b.slug AND a.ident < b.ident WHERE a.n <= 10)"""
+
+
+@query(VIEW + PAIRS_SQL + " SELECT k, ident_a, ident_b FROM pairs")
+def pairs_in_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.pairs_within(records(spark, sf_dir)).select("k", F.col("a.ident").alias("ident_a"), F.col("b.ident").alias("ident_b"))
+
+
+def verdict_sql(pairs: str) -> str:
+    """CASE over a and b for what the records view can reach, on top of a relation with ident_a, ident_b, a and b."""
+    set_ = lambda x: f"list_sort(list_distinct({x}))"
+    slugs = lambda r: f"list_distinct(list_transform({r}.names, lambda n: {SLUG_SQL.format(x='n')}))"
+    gap = lambda g: f"abs(a.release_year - b.release_year) > {g}"
+    grams = lambda r: f"list_transform(list_sort({r})[1:5], lambda n: list_distinct({_GRAMS_SQL.format(t=TOKENS_SQL.format(x='n').replace('lambda x: x', 'lambda y: y'))}))"
+    words = lambda r: f"list_distinct(regexp_extract_all(array_to_string({r}, ' '), '[0-9A-Za-z_]{{3,}}'))"
+    sim = _JACCARD_SQL.format(a="x", b="y")
+    preprints = "('article', 'article-journal', 'report', 'paper-conference')"
+    pre = lambda d: f"split_part({d}, '/', 1)"
+    kinds = lambda t: f"('{t}' IN (a.release_type, b.release_type) AND (a.release_type IN ('article', 'article-journal') OR b.release_type IN ('article', 'article-journal')))"
+    phrases = " OR ".join(f"contains(lower(a.title), '{x}')" for x in lists.FRAGMENTS)
+    one = "regexp_full_match({r}.title, '\\s*\\S+\\s*')"
+    cases = [
+        ("ambiguous", "short_title", "length(a.title) < 5"),
+        ("ambiguous", "blacklisted", f"lower(a.title) IN ({_DENIED})"),
+        ("ambiguous", "blacklisted_fragment", phrases),
+        ("ambiguous", "appendix", "regexp_matches(lower(a.title), '^appendix ?[^ ]*$')"),
+        ("different", "release_type", f"a.release_type <> b.release_type AND ((a.release_type NOT IN {preprints} AND b.release_type NOT IN {preprints}) OR {kinds('dataset')} OR {kinds('book')})"),
+        ("different", "dataset_doi", "a.release_type = 'dataset' AND b.release_type = 'dataset' AND a.doi <> b.doi"),
+        ("different", "year", f"a.slug = b.slug AND {gap(40)}"),
+        ("different", "year", f"lower(a.title) = lower(b.title) AND len(a.names) > 0 AND {set_('a.names')} = {set_('b.names')} AND {gap(4)}"),
+        ("exact", "title_author_match", f"lower(a.title) = lower(b.title) AND len(a.names) > 0 AND {set_('a.names')} = {set_('b.names')}"),
+        ("different", "title_filename", f"(({one.format(r='a')} AND regexp_matches(a.title, '^.*[.][a-z]{{2,3}}')) OR ({one.format(r='b')} AND regexp_matches(b.title, '^.*[.][a-z]{{2,3}}$'))) AND a.title <> b.title"),
+        ("different", "year", f"a.title = b.title AND {gap(2)}"),
+        ("ambiguous", "short_title", "length(a.slug) < 10 AND a.slug <> b.slug"),
+        ("different", "num_diff", "regexp_matches(a.slug, '[0-9]') AND a.slug <> b.slug AND regexp_replace(a.slug, '[0-9]+', '#', 'g') = regexp_replace(b.slug, '[0-9]+', '#', 'g')"),
+        ("different", "year", f"a.slug <> '' AND replace(a.slug, ' ', '') = replace(b.slug, ' ', '') AND len(list_intersect(sa, sb)) > 0 AND {gap(4)}"),
+        ("strong", "slug_title_author_match", "a.slug <> '' AND replace(a.slug, ' ', '') = replace(b.slug, ' ', '') AND len(list_intersect(sa, sb)) > 0"),
+        ("different", "shared_doi_prefix", f"a.container_id = b.container_id AND a.doi <> b.doi AND {pre('a.doi')} = {pre('b.doi')}"),
+        ("strong", "tokenized_authors", f"len(a.names) > 0 AND len(list_intersect(sa, sb)) = 0 AND len(sa) > 0 AND len(sb) > 0 AND list_sum(list_transform({grams('sa')}, lambda x: list_max(list_transform({grams('sb')}, lambda y: {sim})))) / len({grams('sa')}) > CASE WHEN least(len(sa), len(sb), 5) < 3 THEN 0.9 ELSE 0.5 END"),
+        ("strong", "jaccard_authors", f"len(a.names) > 0 AND len(list_intersect(sa, sb)) = 0 AND {_JACCARD_SQL.format(a=words('sa'), b=words('sb'))} > 0.35"),
+        ("different", "contrib_intersection_empty", "len(a.names) > 0 AND len(list_intersect(sa, sb)) = 0"),
+        ("strong", "title_artifact", f"{set_('a.names')} = {set_('b.names')} AND a.container_id = b.container_id AND a.release_year = b.release_year AND a.title <> b.title AND (contains(a.title, b.title) OR contains(b.title, a.title))"),
+    ]
+    when = " ".join(f"WHEN {cond} THEN '{status} {reason}'" for status, reason, cond in cases)
+    return f""",
+judged AS (SELECT * EXCLUDE (a, b), split_part(v, ' ', 1) AS status, split_part(v, ' ', 2) AS reason FROM (
+  SELECT *, CASE {when} ELSE 'ambiguous unknown' END AS v FROM (SELECT *, {slugs('a')} AS sa, {slugs('b')} AS sb FROM {pairs})))"""
+
+
+def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cluster.pairs_within(records(spark, sf_dir)).select(F.col("a.ident").alias("ident_a"), F.col("b.ident").alias("ident_b"), "a", "b")
+    return rules.verify_pairs(pairs)
+
+
+@query(VIEW + PAIRS_SQL + verdict_sql("pairs") + " SELECT ident_a, ident_b, status, reason FROM judged")
+def verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified(spark, sf_dir)
+
+
+@query(VIEW + PAIRS_SQL + verdict_sql("pairs") + " SELECT status, reason, count(*) AS pairs FROM judged GROUP BY GROUPING SETS ((status, reason), ())")
+def cluster_verify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: cluster by slug, verify all pairs, count by reason with the total."""
+    return cluster.reason_counts(verified(spark, sf_dir))
+
+
+@query(VIEW + PAIRS_SQL + verdict_sql("pairs") + """, sizes AS (SELECT slug, count(*) AS n FROM records WHERE slug <> '' GROUP BY slug),
+counted AS (SELECT reason AS counter, count(*) AS n FROM judged GROUP BY reason UNION ALL SELECT 'singular_cluster', count(*) FROM sizes WHERE n < 2 HAVING count(*) > 0 UNION ALL SELECT 'max_cluster_size_exceeded', count(*) FROM sizes WHERE n > 10 HAVING count(*) > 0)
+SELECT counter, n FROM counted UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM counted""")
+def group_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = cluster.cluster_documents(records(spark, sf_dir))
+    return cluster.group_counters(docs, cluster.verify_clusters(docs))
+
+
+@query(VIEW + """, pairs AS (SELECT a.slug AS k, a.ident AS ident_a, b.ident AS ident_b, a, b FROM records a JOIN records b ON a.slug = b.slug AND b.ident > a.ident
+  WHERE a.slug <> '' AND a.ident = (SELECT min(ident) FROM records r WHERE r.slug = a.slug))""" + verdict_sql("pairs") + " SELECT k, ident_a, ident_b, status, reason FROM judged")
+def refs_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of one release (the smallest id) and its references (the others)."""
+    docs = cluster.cluster_documents(records(spark, sf_dir), "slug", min_size=2)
+    skate = lambda r, i: F.when(i > 0, F.struct(F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("struct<type:string>"), F.lit(None).cast("struct<metadataVersion:int,relations:array<struct<relatedIdentifier:string,relatedIdentifierType:string,relationType:string>>>"), F.struct(F.lit("ref"))).cast(EXTRA))
+    return refs.verify_refs(docs.select("k", F.transform("v", lambda r, i: r.withField("extra", skate(r, i))).alias("v")))
+
+
+@query(VIEW + PAIRS_SQL + verdict_sql("pairs") + " SELECT concat_ws(' ', 'r/' || ident_a, 'r/' || ident_b, 'Status.' || upper(status), 'Reason.' || upper(reason)) AS value FROM judged")
+def pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.pair_lines(verified(spark, sf_dir), "r/")
+
+
+# ---- Matching
+
+
+@query("""SELECT o_orderkey AS query, c_custkey AS ident FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, c_custkey FROM orders JOIN customer ON c_custkey = o_orderkey WHERE o_orderkey % 3 = 0""")
+def id_lookup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders look customers up by two identifiers, of which a third of the orders lack the first."""
+    none = F.lit(None).cast("string")
+    ids = lambda **k: F.struct(*[k.get(t, none).cast("string").alias(t) for t in ID_TYPES]).cast(EXT_IDS).alias("ext_ids")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ident"), ids(doi=F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("10.1/"), "o_custkey")), pmid=F.col("o_orderkey")))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ident"), ids(doi=F.concat(F.lit("10.1/"), "c_custkey"), pmid=F.col("c_custkey")))
+    return match.match_by_identifier(orders, customers)
+
+
+def _field_sql(fuzzy: bool) -> str:
+    near = f"damerau_levenshtein({ONE_BYTE.format(x='q.term')}, {ONE_BYTE.format(x='v.term')}) <= CASE WHEN length(q.term) <= 2 THEN 0 WHEN length(q.term) <= 5 THEN 1 ELSE 2 END" if fuzzy else "q.term = v.term"
+    return f"""
+WITH titles AS (SELECT doc_id AS ident, {TERMS_SQL.format(x=_TS)} AS terms FROM documents),
+postings AS (SELECT ident, term, count(*) AS tf FROM (SELECT ident, unnest(terms) AS term FROM titles) GROUP BY ALL),
+lengths AS (SELECT ident, len(terms) AS len FROM titles WHERE len(terms) > 0),
+vocabulary AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+wanted AS (SELECT item_id AS query, unnest(list_distinct({TERMS_SQL.format(x=_TS)})) AS term FROM benchmark),
+near AS (SELECT q.term AS qterm, v.term, v.df FROM (SELECT DISTINCT term FROM wanted) q JOIN vocabulary v ON {near}),
+weights AS (SELECT qterm, ident, max(round(ln(1 + (d - df + 0.5) / (df + 0.5)) * tf * {match.K1 + 1} / (tf + {match.K1} * ({1 - match.B} + {match.B} * len / mean)), 9)) AS w
+  FROM near JOIN postings USING (term) JOIN lengths USING (ident), (SELECT count(*) AS d, sum(len) / count(*) AS mean FROM lengths) GROUP BY ALL),
+hits AS (SELECT query, ident, count(*) AS have, sum(w) AS score FROM wanted JOIN weights ON wanted.term = weights.qterm GROUP BY ALL)
+SELECT query, ident, round(score, 6) AS score FROM hits JOIN (SELECT query, count(*) AS n FROM wanted GROUP BY query) USING (query) WHERE have = n"""
+
+
+def _field_query(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
+    postings, lengths = match.text_index(records(spark, sf_dir))
+    return match.field_matches(match.query_terms(passages(spark, sf_dir)), postings, lengths, fuzzy).select("query", "ident", F.round("score", 6).alias("score"))
+
+
+@query(_field_sql(False))
+def title_terms_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _field_query(spark, sf_dir, False)
+
+
+@query(_field_sql(True))
+def title_fuzzy_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _field_query(spark, sf_dir, True)
+
+
+@query("""WITH q AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS qterm FROM part), v AS (SELECT DISTINCT unnest(""" + TERMS_SQL.format(x=_TS) + """) AS term FROM documents)
+SELECT 'title' AS field, qterm, term FROM q JOIN v ON damerau_levenshtein(qterm, """ + ONE_BYTE.format(x="term") + """) <= CASE WHEN length(qterm) <= 2 THEN 0 WHEN length(qterm) <= 5 THEN 1 ELSE 2 END""")
+def title_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda df, text, name: df.select(F.lit("title").alias("field"), F.explode(s.terms(text)).alias(name)).distinct()
+    return match.fuzzy_terms(words(table(spark, sf_dir, "part"), F.col("p_name"), "qterm"), words(table(spark, sf_dir, "documents"), _title(), "term"))
+
+
+@query()
+def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages against documents through all levels."""
+    return match.match_releases(passages(spark, sf_dir), records(spark, sf_dir))
+
+
+@query()
+def closest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closest.close_matches(passages(spark, sf_dir), records(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS text, CASE WHEN o_orderkey % 3 = 0 THEN 'container' ELSE 'title' END AS class FROM orders")
+def string_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lpad(F.col("o_orderkey").cast("string"), 4, "0").substr(-4, 4), F.lit("-"), F.lit("123x"))).otherwise(F.col("o_orderpriority")).alias("s"))
+    known = as_records(orders, F.col("s"), F.lit(None).cast("string"), F.lit("x"), F.array().cast("array<string>"), F.lit(None), F.lit(None).cast("string"), F.lit(None).cast("string")).limit(0)
+    classes = match.resolve_strings(orders.select("s").distinct(), known, text="s").select(F.col("text").alias("s"), "class")
+    return orders.join(classes, "s").select(F.col("o_orderkey").alias("text"), "class")
+
+
+@query("SELECT count(*) AS n FROM (SELECT 1 FROM orders LIMIT 2)")
+def sample_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two records at random (the operator is a sample)."""
+    return match.sample_pair(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("ident"))).agg(F.count("*").alias("n"))
+
+
+# ---- Citations
+
+def _xml() -> Column:
+    return F.concat(
+        F.lit('<biblStruct><analytic><title level="a">'), F.regexp_replace(_title(), "[<&]", ""), F.lit('</title><author><persName><forename type="first">A</forename><surname>'), F.col("source"), F.lit("</surname></persName></author><idno type=\"DOI\">10."), (1000 + F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"),
+        F.lit('</idno></analytic><monogr><title level="j">'), F.col("lang"), F.lit('</title><imprint><biblScope unit="page" from="'), (F.col("doc_id") % 100).cast("string"), F.lit('" to="'), (F.col("doc_id") % 100 + 9).cast("string"), F.lit('"/><date type="published" when="'), (1980 + F.col("doc_id") % 45).cast("string"), F.lit('-01-30"/></imprint></monogr></biblStruct>'),
+    )
+
+
+@query("""SELECT doc_id, nullif(regexp_replace(split_part(text, chr(10), 1), '[<&]', '', 'g'), '') AS title, lang AS journal, 'A ' || source AS author, '10.' || (1000 + doc_id % 7) || '/' || doc_id AS doi, (doc_id % 100) || '-' || (doc_id % 100 + 9) AS pages,
+  CAST(1980 + doc_id % 45 AS INTEGER) AS year FROM documents""")
+def citation_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A citation in XML made of each document, parsed again and turned into a record."""
+    parsed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ident"), c.citation(_xml()).alias("ref"))
+    r = closest.releases_of_citations(parsed)
+    return r.select(F.col("ident").cast("long").alias("doc_id"), "title", F.col("extra.container_name").alias("journal"), F.get(F.col("contribs.raw_name"), F.lit(0)).alias("author"), F.col("ext_ids.doi").alias("doi"), "pages", F.col("release_year").alias("year"))
+
+
+@query("SELECT o_orderkey, 'Order ' || o_orderkey AS title, o_orderpriority AS container_name, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus AS author, '10.1/' || lower(o_orderstatus) AS doi, CAST(o_custkey AS VARCHAR) AS pages FROM orders")
+def biblio_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat metadata made of orders, as records."""
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("ident"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.lit("").alias("journal"), F.col("o_orderpriority").alias("conference"), F.lit(None).cast("array<struct<name:string,given_name:string,surname:string>>").alias("authors"), F.array().cast("array<string>").alias("author_names"),
+        F.col("o_orderstatus").alias("first_author"), F.lit("").alias("year"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), *[none.alias(x) for x in ("volume", "issue", "pages", "publisher", "pmid", "pmcid", "arxiv_id", "release_type", "release_stage")], F.col("o_custkey").cast("string").alias("first_page"), F.concat(F.lit("doi:10.1/"), "o_orderstatus").alias("doi"),
+    )
+    r = closest.releases_of_biblio(rows)
+    return r.select(F.col("ident").cast("long").alias("o_orderkey"), "title", F.col("extra.container_name").alias("container_name"), F.col("release_year").alias("year"), F.get(F.col("contribs.raw_name"), F.lit(0)).alias("author"), F.col("ext_ids.doi").alias("doi"), "pages")
+
+
+@query()
+def tei_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A TEI document around each citation, parsed again."""
+    tei = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><sourceDesc>'), _xml(), F.lit('</sourceDesc></fileDesc></teiHeader><text xml:lang="en"><body><p>b</p></body><back><listBibl>'), _xml(), F.lit("</listBibl></back></text></TEI>"))
+    d = table(spark, sf_dir, "documents").select("doc_id", c.tei_document(tei).alias("d"))
+    return d.select("doc_id", "d.title", "d.doi", F.size("d.citations").alias("citations"), "d.body", "d.language_code")
+
+
+@query(VIEW + " SELECT ident, length(title) AS chars, len(names) AS authors FROM records")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records to JSON and back."""
+    r = records(spark, sf_dir).withColumn("ident", F.col("ident").cast("string"))
+    back = r.select(io.from_json_column(io.to_json_column(*r.columns)).alias("r"))
+    return back.select(F.col("r.ident").cast("long").alias("ident"), F.length("r.title").cast("long").alias("chars"), F.size("r.contribs").cast("long").alias("authors"))
