@@ -78,10 +78,13 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFr
 
 
 def keep_mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
-    """The chosen rows with all their own columns."""
+    """The chosen rows with all their own columns.
+
+    Their keys grow with the corpus, so both sides are shuffled at every size and never broadcast.
+    """
     chosen, scratch = mixed_rows(docs, id_column, text_column, source_column, **options)
     keys = scratch.write(chosen.select(F.col("rk").alias("__rk")).distinct())
-    return docs.withColumn("__rk", row_key(id_column, text_column)).join(keys, "__rk", "left_semi").select(*docs.columns)
+    return docs.withColumn("__rk", row_key(id_column, text_column)).join(keys.hint("merge"), "__rk", "left_semi").select(*docs.columns)
 
 
 def mixing_sql(block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, fraction: float = FRACTION, seed: int = SEED) -> str:
