@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Scratch, row_key
+from .shared import Scratch, free_name, row_key
 
 BLOCK_TOKENS, SHARD_TOKENS, FRACTION, SEED, CHARS_PER_TOKEN = 4096, 4_194_304, 0.5, 17, 4
 
@@ -83,8 +83,9 @@ def keep_mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     Their keys grow with the corpus, so both sides are shuffled at every size and never broadcast.
     """
     chosen, scratch = mixed_rows(docs, id_column, text_column, source_column, **options)
-    keys = scratch.write(chosen.select(F.col("rk").alias("__rk")).distinct())
-    return docs.withColumn("__rk", row_key(id_column, text_column)).join(keys.hint("merge"), "__rk", "left_semi").select(*docs.columns)
+    rk = free_name(docs.columns, "__rk")
+    keys = scratch.write(chosen.select(F.col("rk").alias(rk)).distinct())
+    return docs.withColumn(rk, row_key(id_column, text_column)).join(keys.hint("merge"), rk, "left_semi").select(*docs.columns)
 
 
 def mixing_sql(block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, fraction: float = FRACTION, seed: int = SEED) -> str:

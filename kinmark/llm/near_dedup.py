@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import Scratch, row_key
+from .shared import Scratch, free_name, row_key
 
 K, WIDTH, THRESHOLD, DEVIATIONS = 64, 3, 0.5, 3.0
 #: Leaders are elected until the pairs left are at most so many times the postings.
@@ -230,10 +230,11 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     found, scratch = near_duplicates(docs, id_column, text_column, **options)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk")).over(W.partitionBy("group"))
     named = found.withColumn("stay", F.col("rk") == first["rk"])
-    fate = scratch.write(named.groupBy("rk").agg(F.max("stay").alias("__stay"), F.count("*").alias("__rows")).where("not __stay or __rows > 1").withColumnRenamed("rk", "__rk"))
-    keyed = docs.withColumn("__rk", row_key(id_column, text_column))
-    out = keyed.join(fate.select("__rk"), "__rk", "left_anti")
-    once = fate.where("__stay").select("__rk")
+    key = free_name(docs.columns, "__rk")
+    fate = scratch.write(named.groupBy(F.col("rk").alias(key)).agg(F.max("stay").alias("stay"), F.count("*").alias("rows")).where("not stay or rows > 1"))
+    keyed = docs.withColumn(key, row_key(id_column, text_column))
+    out = keyed.join(fate.select(key), key, "left_anti")
+    once = fate.where("stay").select(key)
     if not once.isEmpty():
-        out = out.unionByName(keyed.join(once, "__rk", "left_semi").dropDuplicates(["__rk"]))
-    return out.drop("__rk").select(*docs.columns)
+        out = out.unionByName(keyed.join(once, key, "left_semi").dropDuplicates([key]))
+    return out.select(*docs.columns)

@@ -16,7 +16,8 @@ letters of every document in a row, cut into pieces of each length class in turn
    simulated letters.
 3. Benjamini-Hochberg over the candidates of all documents, with Storey's estimate
    of the share that is ordinary, turns p-values into q-values; those with
-   q <= ``FDR`` are reported.
+   q <= ``FDR`` are reported. A p-value above ``LAMBDA`` has the q-value 1: what
+   looks less random than most text is never reported.
 
 Both corpus-wide tables are histograms of a fixed number of cells (length class x score
 bucket), whatever the input. Both passes are map-only.
@@ -219,7 +220,7 @@ def decide(reference: np.ndarray, candidates: np.ndarray) -> Decision:
     raw = ordinary * values * n.sum() / np.maximum(upto, 1)
     q = np.minimum(np.minimum.accumulate(raw[::-1])[::-1], 1)
     out = np.ones(len(flat))
-    out[order] = q[inverse]
+    out[order] = np.where(flat[order] > LAMBDA, 1.0, q[inverse])
     return Decision(flat, out)
 
 

@@ -48,3 +48,11 @@ class Scratch:
 def row_key(id_column: str, text_column: str) -> Column:
     """64-bit key of a row: equal exactly for repeated rows, and defined for null ids and texts."""
     return F.xxhash64(F.col(id_column).cast("string"), F.col(text_column), F.col(id_column).isNull(), F.col(text_column).isNull())
+
+
+def free_name(columns: list[str], base: str) -> str:
+    """A column name that none of ``columns`` has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
