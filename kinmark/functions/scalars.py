@@ -16,9 +16,13 @@ def col(x: Col) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: What counts as white space, for functions that take the characters and not a pattern.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def strip(x: Col) -> Column:
-    """Without white space of any kind at the ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(col(x), r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at the ends (``trim`` alone removes blanks)."""
+    return F.btrim(col(x), F.lit(SPACES))
 
 
 def clean_doi(x: Col) -> Column:
@@ -89,17 +93,17 @@ def has_chemical_formula(x: Col) -> Column:
 
 def parse_pages(x: Col) -> Column:
     """struct(start, end, count): a page, or a range whose end may be abbreviated to 1 or 2 digits; null if it is neither."""
-    v = F.regexp_replace(col(x), "^[pPeE]", "")
-    a, b = F.regexp_extract(v, r"^([0-9]+)-([0-9]+)", 1), F.regexp_extract(v, r"^([0-9]+)-([0-9]+)", 2)
+    v = F.when(F.lower(F.left(col(x), F.lit(1))).isin("p", "e"), F.substring(col(x), F.lit(2), F.length(col(x)))).otherwise(col(x))
+    a, dash = F.substring_index(v, "-", 1), F.instr(v, F.lit("-"))
+    b = F.regexp_extract(F.substring(v, dash + 1, F.length(v)), "^[0-9]+", 0)
     short = F.length(b)
     # The end is completed when it is above the start's last digits as a string.
-    last = F.right(a, short)
-    full = F.when((short <= 2) & (last < b), F.concat(F.substring(a, F.lit(1), F.greatest(F.length(a) - short, F.lit(0))), b)).otherwise(b)
+    full = F.when((short <= 2) & (F.right(a, short) < b), F.concat(F.substring(a, F.lit(1), F.greatest(F.length(a) - short, F.lit(0))), b)).otherwise(b)
     start, end = a.try_cast("long"), full.try_cast("long")
     none = F.lit(None).cast("long")
     single = v.rlike("^[0-9]+$")
     return F.when(single, F.struct(v.try_cast("long").alias("start"), none.alias("end"), none.alias("count"))).when(
-        v.rlike("^[0-9]+-[0-9]+") & (start <= end), F.struct(start.alias("start"), end.alias("end"), (end - start + 1).alias("count"))
+        (dash > 1) & (b != "") & a.rlike("^[0-9]+$") & (start <= end), F.struct(start.alias("start"), end.alias("end"), (end - start + 1).alias("count"))
     )
 
 

@@ -112,21 +112,22 @@ def field_matches(queries: DataFrame, postings: DataFrame, lengths: DataFrame, f
         near = fuzzy_terms(queries.select("field", "qterm").distinct(), postings.select("field", "term").distinct())
     else:
         near = queries.select("field", "qterm", F.col("qterm").alias("term")).distinct()
+    near = near.join(postings.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"])
+    # A query that lacks a term everywhere is out; of the others only the documents of the rarest term are candidates,
+    # so a frequent term's postings are never joined with all queries that have it.
+    reach = near.groupBy("field", "qterm").agg(F.sum("df").alias("reach"))
+    each = W.partitionBy("query", "field")
+    live = queries.join(reach, ["field", "qterm"]).withColumn("have", F.count("*").over(each)).join(wanted, ["query", "field"]).where("have = wanted")
+    ranked = live.withColumn("turn", F.row_number().over(each.orderBy("reach", "qterm"))).select("query", "field", "qterm", "wanted", "turn")
+    asked = ranked.join(near, ["field", "qterm"])
+    candidates = asked.where("turn = 1").join(postings.select("field", "term", "ident"), ["field", "term"]).select("query", "field", "ident").distinct()
+    found = candidates.join(postings, ["field", "ident"]).join(asked.select("query", "field", "term", "qterm", "df", "wanted"), ["query", "field", "term"])
     total = lengths.groupBy("field").agg(F.count("*").alias("docs"), (F.sum("len") / F.count("*")).alias("mean"))
-    spread = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    used = near.join(spread, ["field", "term"]).join(total, "field")  # only terms that some query uses meet the postings
-    scored = postings.join(used, ["field", "term"]).join(lengths, ["field", "ident"])
+    scored = found.join(lengths, ["field", "ident"]).join(total, "field")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    per_term = scored.groupBy("field", "qterm", "ident").agg(F.max(F.round(weight, 9)).alias("w"))
-    # A query that lacks a term everywhere is out; of the others only the documents of the rarest term are candidates.
-    reach = per_term.groupBy("field", "qterm").agg(F.count("*").alias("n"))
-    each = W.partitionBy("query", "field")
-    live = queries.join(reach, ["field", "qterm"]).withColumn("have", F.count("*").over(each)).join(wanted, ["query", "field"]).where("have = wanted")
-    rarest = live.withColumn("turn", F.row_number().over(each.orderBy("n", "qterm"))).where("turn = 1")
-    candidates = rarest.select("query", "field", "qterm").join(per_term.select("field", "qterm", "ident"), ["field", "qterm"]).select("query", "field", "ident")
-    need = candidates.join(live.select("query", "field", "qterm", "wanted"), ["query", "field"])
-    hits = need.join(per_term, ["field", "qterm", "ident"]).groupBy("query", "field", "ident").agg(F.count("*").alias("have"), F.sum("w").alias("score"), F.first("wanted").alias("wanted"))
+    per_term = scored.groupBy("query", "field", "ident", "qterm").agg(F.max(F.round(weight, 9)).alias("w"), F.first("wanted").alias("wanted"))
+    hits = per_term.groupBy("query", "field", "ident").agg(F.count("*").alias("have"), F.sum("w").alias("score"), F.first("wanted").alias("wanted"))
     return hits.where("have = wanted").select("query", "field", "ident", "score")
 
 

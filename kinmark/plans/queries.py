@@ -73,7 +73,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.substring(F.col("text"), F.length("title") + 2, F.length("text"))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("article-journal", "article", "chapter", "dataset")]), (i % 4 + 1).cast("int"))
     doi = F.concat(F.lit("10."), 1000 + i % 7, F.lit("/"), i)
-    return as_records(docs, i, doi, F.col("title"), F.filter(F.slice(F.split(after, " "), 1, 3), lambda x: x != ""), 1980 + i % 45, kind, F.col("source"))
+    return as_records(docs, i, doi, F.col("title"), F.filter(F.slice(F.split(after, " ", 4), 1, 3), lambda x: x != ""), 1980 + i % 45, kind, F.col("source"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
