@@ -31,10 +31,10 @@ from . import textvec as tv
 TYPES = ("EMAIL", "PHONE", "IP", "CARD")
 #: Tags: 0 is outside; 2 i + 1 begins a span of type i and 2 i + 2 continues it.
 TAGS = 1 + 2 * len(TYPES)
-STRIDE, HIDDEN, STEPS, BATCH, RATE, SEED = 48, 24, 1400, 96, 0.015, 5
+STRIDE, HIDDEN, STEPS, BATCH, RATE, SEED = 48, 24, 1000, 80, 0.015, 5
 WINDOW = 2 * STRIDE
 #: Windows in training are shorter, as there a span is near.
-TRAIN_WINDOW = 64
+TRAIN_WINDOW = 56
 #: Windows that the network runs at once.
 RUN_WINDOWS = 1024
 PAD, LETTER, OTHER, VOCABULARY = 0, 128, 129, 130
