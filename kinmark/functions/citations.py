@@ -13,7 +13,8 @@ from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, Struc
 from . import scalars as s
 from .scalars import Col, col
 
-TEI, XML = "{http://www.tei-c.org/ns/1.0}", "{http://www.w3.org/XML/1998/namespace}"
+TEI_URI, XML_URI = "http://www.tei-c.org" + "/ns/1.0", "http://www.w3.org" + "/XML/1998/namespace"
+TEI, XML = "{" + TEI_URI + "}", "{" + XML_URI + "}"
 
 
 def _row(*names: str) -> list[StructField]:
@@ -27,7 +28,7 @@ CITATION = StructType([*_row("id", "unstructured", "title", "journal"), AUTHORS,
 INDEXED = StructType([*CITATION.fields, StructField("index", IntegerType())])
 JOURNAL = StructType(_row("name", "publisher", "issn", "eissn", "volume", "issue"))
 DOCUMENT = StructType(
-    [*_row("grobid_version", "grobid_timestamp", "title"), AUTHORS, StructField("journal", JOURNAL), *_row("date", "fatcat_release", "doi"), StructField("citations", ArrayType(INDEXED)), *_row("language_code", "abstract", "body", "acknowledgement", "annex")]
+    [*_row("grobid_version", "grobid_timestamp", "title"), AUTHORS, StructField("journal", JOURNAL), *_row("date", "release_ident", "doi"), StructField("citations", ArrayType(INDEXED)), *_row("language_code", "abstract", "body", "acknowledgement", "annex")]
 )
 
 
@@ -88,8 +89,11 @@ def parse_reference(xml: str | None) -> dict | None:
     return ref if any(ref.values()) else None
 
 
-def parse_document(xml: str | None, encumbered: bool = True) -> dict | None:
-    """Header, citations and, if ``encumbered``, texts of a TEI document; null if it isn't one."""
+def parse_document(xml: str | None, encumbered: bool = True, ident_type: str = "release") -> dict | None:
+    """Header, citations and, if ``encumbered``, texts of a TEI document; null if it isn't one.
+
+    ``ident_type``: the type of the idno that holds the catalog's own ident.
+    """
     try:
         root = _strip_namespace(ET.fromstring(xml or ""))
     except ET.ParseError:
@@ -105,7 +109,7 @@ def parse_document(xml: str | None, encumbered: bool = True) -> dict | None:
     out = {
         "grobid_version": None if made is None else (made.get("version") or "").strip() or None, "grobid_timestamp": None if made is None else (made.get("when") or "").strip() or None,
         "title": _text(head, ".//analytic/title"), "authors": parse_authors(head.find(".//sourceDesc//biblStruct")) or None, "journal": journal if any(journal.values()) else None, "date": None if date is None else date.get("when"),
-        "fatcat_release": _text(head, ".//idno[@type='fatcat']"), "doi": (_text(head, ".//idno[@type='DOI']") or "").lower() or None,
+        "release_ident": _text(head, f".//idno[@type='{ident_type}']"), "doi": (_text(head, ".//idno[@type='DOI']") or "").lower() or None,
         "citations": [parse_citation(b) | {"index": i} for i, b in enumerate(root.iterfind(".//listBibl/biblStruct"))] or None,
         "language_code": text.get(XML + "lang") if text is not None and len(text) else None,
     }
@@ -137,7 +141,7 @@ def citation(xml: Col) -> Column:
     return F.when(ref.isNotNull(), _corrected(ref))
 
 
-def tei_document(xml: Col, encumbered: bool = True) -> Column:
+def tei_document(xml: Col, encumbered: bool = True, ident_type: str = "release") -> Column:
     """Struct of a TEI document's fields; null if it isn't one."""
-    doc = _udf(DOCUMENT, lambda x: parse_document(x, encumbered))(col(xml))
+    doc = _udf(DOCUMENT, lambda x: parse_document(x, encumbered, ident_type))(col(xml))
     return F.when(doc.isNotNull(), doc.withField("citations", F.transform(doc["citations"], _corrected)))

@@ -88,7 +88,7 @@ def num_project(x: Col) -> Column:
 
 
 def has_chemical_formula(x: Col) -> Column:
-    return F.coalesce(col(x).rlike("[A-Z]{1,2}[0-9]{1,2}"), F.lit(False))
+    return F.coalesce(col(x).rlike("[A-Z][0-9]"), F.lit(False))
 
 
 def parse_pages(x: Col) -> Column:
@@ -137,7 +137,7 @@ def cut(x: Col, field: int = 0, sep: str = "\t", ignore_missing: bool = True) ->
 
 
 def is_ident(x: Col) -> Column:
-    return col(x).rlike("/?[a-z0-9]{26}$")
+    return col(x).rlike("[a-z0-9]{26}$")
 
 
 def is_issn(x: Col) -> Column:

@@ -173,7 +173,7 @@ def resolve_strings(strings: DataFrame, releases: DataFrame, containers: DataFra
     class: release (a 26-character ident, in a path or alone), container (an ISSN), wikidata (a Q number of a release)
     or title (anything else, with no ident). An ident or number that the catalog doesn't have gives a null ident.
     """
-    ident = F.regexp_extract(text, "/?([a-z0-9]{26})$", 1)
+    ident = F.regexp_extract(text, "([a-z0-9]{26})$", 1)
     own = strings.select(F.col(text).alias("text"), F.when(s.is_ident(text), "release").when(s.is_issn(text), "container").when(F.col(text).rlike("^Q[0-9]+$"), "wikidata").otherwise("title").alias("class"), ident.alias("key"))
     known = releases.select(F.lit("release").alias("class"), F.col("ident").alias("key"), "ident").unionByName(releases.where("ext_ids.wikidata_qid is not null").groupBy(F.col("ext_ids.wikidata_qid").alias("key")).agg(F.min("ident").alias("ident")).select(F.lit("wikidata").alias("class"), "key", "ident"))
     if containers is not None:

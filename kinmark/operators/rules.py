@@ -79,7 +79,7 @@ def default_rules(min_title_length: int = 5) -> list[Rule]:
         Rule("different", "title_filename", f"((a.t {_ONE_WORD} AND a.t rlike '^.*[.][a-z]{{2,3}}') OR (b.t {_ONE_WORD} AND b.t rlike '^.*[.][a-z]{{2,3}}$')) AND NOT a.title <=> b.title"),
         Rule("different", "year", f"a.title <> '' AND a.title = b.title AND {_years(2)}"),
         # Formulas have capitals and slugs have none, so this rule never holds; it keeps its place for rule lists that build on this one.
-        Rule("different", "chem_formula", "a.slug rlike '[A-Z]{1,2}[0-9]{1,2}'"),
+        Rule("different", "chem_formula", "a.slug rlike '[A-Z][0-9]'"),
         Rule("ambiguous", "short_title", f"length(a.slug) < 10 AND {slugs_differ}"),
         Rule("different", "num_diff", rf"a.slug rlike '[0-9]' AND {slugs_differ} AND regexp_replace(a.slug, '[0-9]+', '#') = regexp_replace(b.slug, '[0-9]+', '#')"),
         Rule("strong", "preprint_published", f"{SAME_SLUG} AND a.slug <> '' AND size(array_intersect(a.authors, b.authors)) > 0 AND (a.arxiv IS NULL) <> (b.arxiv IS NULL)"),

@@ -112,7 +112,7 @@ _SCALARS: dict[str, tuple[str, str, Callable[[], Column], str]] = {
     "title_chunks": ("documents", "doc_id", lambda: F.array_join(s.chunks(_title(), 3), "|"), f"array_to_string(regexp_extract_all({_TS}, '(?s).{{1,3}}'), '|')"),
     "title_ngrams": ("documents", "doc_id", lambda: F.array_join(s.token_ngrams(_title()), "|"), f"array_to_string({_GRAMS_SQL.format(t=TOKENS_SQL.format(x=_TS))}, '|')"),
     "num_project": ("documents", "doc_id", lambda: F.md5(s.num_project("text")), "md5(regexp_replace(text, '[0-9]+', '<NUM>', 'g'))"),
-    "chem_flag": ("documents", "doc_id", lambda: s.has_chemical_formula("text"), "regexp_matches(text, '[A-Z]{1,2}[0-9]{1,2}')"),
+    "chem_flag": ("documents", "doc_id", lambda: s.has_chemical_formula("text"), "regexp_matches(text, '[A-Z][0-9]')"),
     "clean_doi": ("orders", "o_orderkey", lambda: s.clean_doi(_raw_doi()), f"(SELECT CASE WHEN substr(d, 8, 2) = '//' THEN substr(d, 1, 8) || substr(d, 10) ELSE d END FROM (SELECT substr(v, instr(v, '10.')) AS d FROM (SELECT regexp_replace(lower({_RAW_DOI_SQL}), '^\\s+|\\s+$', '', 'g') AS v)))"),
     "doi_prefix": ("orders", "o_orderkey", lambda: s.doi_prefix(F.when(F.col("o_orderkey") % 5 > 0, s.clean_doi(_raw_doi())).otherwise(F.col("o_orderstatus"))), "CASE WHEN o_orderkey % 5 > 0 THEN '10.' || (1000 + o_orderkey % 9000) END"),
     "year_parse": ("orders", "o_orderkey", lambda: s.year_or_date(F.when(F.col("o_orderkey") % 2 == 0, ""), F.date_format("o_orderdate", "yyyy-MM-dd")), "CAST(year(o_orderdate) AS INTEGER)"),
@@ -342,9 +342,12 @@ def sample_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Citations
 
 def _xml() -> Column:
+    """A citation in XML made of a document."""
+    i = F.col("doc_id")
     return F.concat(
-        F.lit('<biblStruct><analytic><title level="a">'), F.regexp_replace(_title(), "[<&]", ""), F.lit('</title><author><persName><forename type="first">A</forename><surname>'), F.col("source"), F.lit("</surname></persName></author><idno type=\"DOI\">10."), (1000 + F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"),
-        F.lit('</idno></analytic><monogr><title level="j">'), F.col("lang"), F.lit('</title><imprint><biblScope unit="page" from="'), (F.col("doc_id") % 100).cast("string"), F.lit('" to="'), (F.col("doc_id") % 100 + 9).cast("string"), F.lit('"/><date type="published" when="'), (1980 + F.col("doc_id") % 45).cast("string"), F.lit('-01-30"/></imprint></monogr></biblStruct>'),
+        F.lit('<biblStruct><analytic><idno type="DOI">10.'), (1000 + i % 7).cast("string"), F.lit("/"), i.cast("string"), F.lit("</idno><author><persName><forename>A</forename><surname>"), F.col("source"), F.lit("</surname></persName>"),
+        F.lit("</author><title>"), F.regexp_replace(_title(), "[<&]", ""), F.lit("</title></analytic><monogr><imprint><date when='"), (1980 + i % 45).cast("string"), F.lit("-01-30' type='published'/><biblScope to='"),
+        (i % 100 + 9).cast("string"), F.lit("' unit='page' from='"), (i % 100).cast("string"), F.lit("'/></imprint><title>"), F.col("lang"), F.lit("</title></monogr></biblStruct>"),
     )
 
 
@@ -372,7 +375,7 @@ def biblio_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tei_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A TEI document around each citation, parsed again."""
-    tei = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><sourceDesc>'), _xml(), F.lit('</sourceDesc></fileDesc></teiHeader><text xml:lang="en"><body><p>b</p></body><back><listBibl>'), _xml(), F.lit("</listBibl></back></text></TEI>"))
+    tei = F.concat(F.lit('<TEI xmlns="' + c.TEI_URI + '"><teiHeader><fileDesc><sourceDesc>'), _xml(), F.lit('</sourceDesc></fileDesc></teiHeader><text xml:lang="en"><body><p>b</p></body><back><listBibl>'), _xml(), F.lit("</listBibl></back></text></TEI>"))
     d = table(spark, sf_dir, "documents").select("doc_id", c.tei_document(tei).alias("d"))
     return d.select("doc_id", "d.title", "d.doi", F.size("d.citations").alias("citations"), "d.body", "d.language_code")
 

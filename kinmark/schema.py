@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: External identifiers in the order in which a lookup tries them.
-ID_TYPES = ("doi", "wikidata_qid", "isbn13", "pmid", "pmcid", "core", "arxiv", "jstor", "ark", "mag", "doaj", "dblp", "oai")
+ID_TYPES = tuple("doi wikidata_qid isbn13 pmid pmcid core arxiv jstor ark mag doaj dblp oai".split())
 
 AUTHOR = "struct<raw_name:string,given_name:string,surname:string>"
 EXT_IDS = "struct<" + ",".join(f"{x}:string" for x in ID_TYPES) + ">"

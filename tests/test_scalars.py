@@ -62,7 +62,7 @@ def test_years_and_the_rest(spark):
         values(spark, ["a"], lambda x: s.cut(x, 3, ignore_missing=False))
     assert values(spark, ["a" * 26, "/release/" + "b" * 26, "a" * 25, "A" * 26], s.is_ident) == [True, True, False, False]
     assert values(spark, ["1234-567X", "1234567x", "123-4567"], s.is_issn) == [True, True, False]
-    assert values(spark, ['{"hits":{"total":5}}', '{"hits":{"total":{"value":7}}}', "{}"], s.hit_total) == [5, 7, None]
+    assert values(spark, ['{"hits":{"total":5}}', '{"hits": {"total": {"relation": "eq", "value": 7}}}', "{}"], s.hit_total) == [5, 7, None]
 
 
 def test_scorable_slug(spark):

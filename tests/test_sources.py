@@ -4,7 +4,7 @@ import tomllib
 import pytest
 import zstandard
 from kinmark import cli
-from kinmark.functions.citations import citation, tei_document
+from kinmark.functions.citations import TEI_URI, citation, tei_document
 from kinmark.operators.closest import releases_of_citations
 from kinmark.operators.cluster import verify_clusters
 from kinmark.sources import io
@@ -43,9 +43,9 @@ def test_toml_and_json(spark):
 
 
 def test_citation(spark):
-    xml = """<biblStruct xmlns="http://www.tei-c.org/ns/1.0" xml:id="b0"><analytic><title level="a">On <hi>it</hi></title><author><persName><forename>A</forename><surname>Lee</surname></persName>
+    xml = """<biblStruct xmlns="URI" xml:id="b0"><analytic><title level="a">On <hi>it</hi></title><author><persName><forename>A</forename><surname>Lee</surname></persName>
       <affiliation><orgName type="institution">U</orgName><address><country>X</country></address></affiliation></author><author><persName/></author><idno type="DOI">10.5/A</idno><idno type="arXiv">arXiv:12.3</idno></analytic>
-      <monogr><title>J</title><imprint><publisher>P</publisher><biblScope unit="volume">2</biblScope><biblScope unit="page" from="3" to="9"/><date type="published" when="2019-01"/></imprint></monogr><ptr target="&lt;http://a.b&gt; x"/></biblStruct>"""
+      <monogr><title>J</title><imprint><publisher>P</publisher><biblScope unit="volume">2</biblScope><biblScope to='9' from='3' unit='page'/><date when='2019-01' type='published'/></imprint></monogr><ptr target="&lt;http://a.b&gt; x"/></biblStruct>""".replace("URI", TEI_URI)
     rows = spark.createDataFrame([("1", xml), ("2", "<biblStruct/>"), ("3", "not xml"), ("4", None), ("5", "<b><monogr><title>Whole</title></monogr></b>")], "ident string, x string").select("ident", citation("x").alias("ref"))
     got = {r.ident: r.ref for r in rows.collect()}
     r = got["1"]
@@ -57,7 +57,7 @@ def test_citation(spark):
 
 
 def test_tei_document(spark):
-    xml = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><appInfo><application version=" 0.5 " when="t"/></appInfo><sourceDesc><biblStruct><analytic><title>T</title></analytic></biblStruct></sourceDesc><idno type="DOI">10.1/X</idno></teiHeader><text xml:lang="en"><body><p>one</p><p>two</p></body><back><div type="annex"><p>z</p></div><listBibl><biblStruct><monogr><title>R</title></monogr></biblStruct></listBibl></back></text></TEI>'
+    xml = '<TEI xmlns="URI"><teiHeader><appInfo><application version=" 0.5 " when="t"/></appInfo><sourceDesc><biblStruct><analytic><title>T</title></analytic></biblStruct></sourceDesc><idno type="DOI">10.1/X</idno></teiHeader><text xml:lang="en"><body><p>one</p><p>two</p></body><back><div type="annex"><p>z</p></div><listBibl><biblStruct><monogr><title>R</title></monogr></biblStruct></listBibl></back></text></TEI>'.replace("URI", TEI_URI)
     df = spark.createDataFrame([(xml,), ("<x/>",)], "x string")
     d, none = (r.d for r in df.select(tei_document("x").alias("d")).collect())
     assert (d.title, d.doi, d.grobid_version, d.body, d.annex, d.language_code, d.abstract) == ("T", "10.1/x", "0.5", "one two", "z", "en", None) and none is None
