@@ -63,8 +63,8 @@ def mixed_rows(
     rank = F.row_number().over(W.partitionBy("shard").orderBy(F.col("quotient").desc(), "source", "k"))
     quotas = quotient.withColumn("rank", rank).where((F.col("rank") <= F.floor(F.lit(float(fraction)) * F.col("all"))) & (F.col("quotient") > 0)).groupBy("shard", "source").agg(F.count("*").alias("quota"))
     order = F.row_number().over(W.partitionBy("shard", "source").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "shard", "source", F.col("k") - 1)), "k"))
-    chosen = blocks.withColumn("turn", order).join(quotas, ["shard", "source"]).where("turn <= quota").select("shard", "source", (F.col("k") - 1).alias("block"), "quota")
-    # The chosen blocks grow with the corpus, so they are never broadcast.
+    chosen = blocks.withColumn("turn", order).join(quotas.hint("merge"), ["shard", "source"]).where("turn <= quota").select("shard", "source", (F.col("k") - 1).alias("block"), "quota")
+    # Quotas and chosen blocks grow with the corpus, so neither is ever broadcast.
     return laid.join(chosen.hint("merge"), ["shard", "source", "block"]).select("rk", "id", "source", "shard", "block", "quota", "tokens"), scratch
 
 
