@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import citations as c
@@ -156,7 +157,7 @@ def nysiis_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VIEW + " SELECT slug AS k, count(*) AS n, array_to_string(list(ident ORDER BY ident), ',') AS idents FROM records WHERE slug <> '' GROUP BY slug HAVING count(*) BETWEEN 2 AND 10000")
 def cluster_by_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cluster.cluster_documents(records(spark, sf_dir), "slug", min_size=2)
+    docs = cluster.cluster_documents(records(spark, sf_dir), "slug", min_size=2, max_size=10_000)  # the bound of its SQL
     return docs.select("k", F.size("v").cast("long").alias("n"), F.array_join(F.transform("v", lambda r: r["ident"]), ",").alias("idents"))
 
 
@@ -245,17 +246,17 @@ def cluster_verify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 counted AS (SELECT reason AS counter, count(*) AS n FROM judged GROUP BY reason UNION ALL SELECT 'singular_cluster', count(*) FROM sizes WHERE n < 2 HAVING count(*) > 0 UNION ALL SELECT 'max_cluster_size_exceeded', count(*) FROM sizes WHERE n > 10 HAVING count(*) > 0)
 SELECT counter, n FROM counted UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM counted""")
 def group_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cluster.cluster_documents(records(spark, sf_dir))
-    return cluster.group_counters(docs, cluster.verify_clusters(docs))
+    return cluster.record_counters(records(spark, sf_dir))
 
 
 @query(VIEW + """, pairs AS (SELECT a.slug AS k, a.ident AS ident_a, b.ident AS ident_b, a, b FROM records a JOIN records b ON a.slug = b.slug AND b.ident > a.ident
   WHERE a.slug <> '' AND a.ident = (SELECT min(ident) FROM records r WHERE r.slug = a.slug))""" + verdict_sql("pairs") + " SELECT k, ident_a, ident_b, status, reason FROM judged")
 def refs_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of one release (the smallest id) and its references (the others)."""
-    docs = cluster.cluster_documents(records(spark, sf_dir), "slug", min_size=2)
-    skate = lambda r, i: F.when(i > 0, F.struct(F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("struct<type:string>"), F.lit(None).cast("struct<metadataVersion:int,relations:array<struct<relatedIdentifier:string,relatedIdentifierType:string,relationType:string>>>"), F.struct(F.lit("ref"))).cast(EXTRA))
-    return refs.verify_refs(docs.select("k", F.transform("v", lambda r, i: r.withField("extra", skate(r, i))).alias("v")))
+    r = records(spark, sf_dir)
+    place = F.row_number().over(W.partitionBy("k").orderBy("ident"))
+    skate = F.when(place > 1, F.struct(F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("struct<type:string>"), F.lit(None).cast("struct<metadataVersion:int,relations:array<struct<relatedIdentifier:string,relatedIdentifierType:string,relationType:string>>>"), F.struct(F.lit("ref"))).cast(EXTRA))
+    return refs.verify_keyed_refs(cluster.keyed(r).where(cluster.usable()).withColumn("extra", skate).select(*r.columns))
 
 
 @query(VIEW + PAIRS_SQL + verdict_sql("pairs") + " SELECT concat_ws(' ', 'r/' || ident_a, 'r/' || ident_b, 'Status.' || upper(status), 'Reason.' || upper(reason)) AS value FROM judged")

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 from kinmark.operators import closest, cluster, match
-from kinmark.operators.refs import split_groups, verify_refs
+from kinmark.operators.refs import split_groups, verify_keyed_refs, verify_refs
 from kinmark.operators.rules import verify_pairs
 from kinmark.schema import BIBLIO_DDL, CONTAINER_DDL, RELEASE_DDL
 from pyspark.sql import functions as F
@@ -56,6 +56,33 @@ def test_refs(spark):
     assert {(r.ident_a, r.ident_b) for r in verify_refs(groups).collect()} == {("p", "r1"), ("p", "r2")}
 
 
+def test_refs_by_key(spark):
+    ref = {"extra": {"skate": {"status": "ref"}}}
+    rows = [rec("r1", "a title that is long") | ref, rec("p", "a title that is long"), rec("r2", "a title that is long") | ref, rec("x", "a title that is long") | {"extra": {"skate": {"status": "other"}}}, rec("q1", "nothing but references") | ref, rec("z", "") | ref, rec("y", "")]
+    r = records(spark, rows)
+    assert sorted(verify_keyed_refs(r).collect()) == sorted(verify_refs(cluster.cluster_documents(r)).collect()) != []
+
+
+def test_counters_by_key(spark):
+    rows = [rec(f"{i:02}", "a group of eleven") for i in range(11)] + [rec("a", "one title here"), rec("b", "one title here") | {"publisher": "test accounts"}, rec("c", "alone here")]
+    r = records(spark, rows)
+    docs = cluster.cluster_documents(r)
+    got = {x.counter: x.n for x in cluster.record_counters(r).collect()}
+    assert got == {"max_cluster_size_exceeded": 1, "singular_cluster": 1, "publisher_blacklist": 1, "unknown": 1, "total": 4}
+    assert got == {x.counter: x.n for x in cluster.group_counters(docs, cluster.verify_clusters(docs)).collect()}
+
+
+def test_groups_above_ten_thousand(spark, tmp_path):
+    from kinmark.plans import queries
+
+    n = 10_001
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same title\nA B C "), "id").alias("text"), F.lit("s").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.counter: r.n for r in queries.group_counters(spark, str(tmp_path)).collect()} == {"max_cluster_size_exceeded": 1, "total": 1}
+    got = queries.refs_verify(spark, str(tmp_path)).agg(F.count("*"), F.countDistinct("ident_b"), F.min("ident_a"), F.max("ident_a")).first()
+    assert tuple(got) == (n - 1, n - 1, 0, 0)
+
+
 def test_identifier_priority(spark):
     catalog = records(spark, [rec("a", "x", pmid="1"), rec("b", "x", doi="10.1/x"), rec("c", "x", doi="10.1/x")])
     queries = records(spark, [rec("q1", "x", pmid="1", doi="10.1/x"), rec("q2", "x", pmid="1", doi="10.9/none"), rec("q3", "x", doi=""), rec("q4", "x")])
