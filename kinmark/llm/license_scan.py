@@ -8,8 +8,10 @@
    value (r = 1); b is the least number with 1 - (1 - s)^b >= ``CERTAINTY``.
    A window whose value equals a template's in any band is a candidate.
 3. A candidate counts only if the window really holds the share ``CONTAINMENT`` of
-   the template's shingles. Of hits that overlap in a text, the one with the highest
-   containment stays, then the longest template, then the first by name and place.
+   the template's shingles. Each tightest stretch that reaches the share is a hit. It is widened to
+   the template's length where that adds more of its shingles. Of hits that overlap in a text,
+   the one with the highest containment stays, then the longest template, the shortest
+   span, the first by name and place; a loser whose tightest stretch is still free has that.
 
 The job is map-only: templates are a parameter of a few texts, sent with the code.
 """
@@ -87,11 +89,13 @@ class LengthClass:
     names: list[str]
     number: list[int]
     sets: list[np.ndarray]
+    full: list[dict[int, int]]  # how often a template has each of its shingles
 
 
 def build_classes(templates: list[tuple[str, str]], width: int = WIDTH, containment: float = CONTAINMENT, certainty: float = CERTAINTY) -> list[LengthClass]:
     """Templates without ``width`` words are refused, as they have no shingle."""
     by: dict[int, list[tuple[int, str, np.ndarray]]] = {}
+    full: dict[int, dict[int, int]] = {}
     for i, (name, text) in enumerate(templates):
         data, off = tv.buffers(pc.utf8_lower(pa.array([text])))
         words = int(tv.tokens(data, off).counts[0])
@@ -101,14 +105,16 @@ def build_classes(templates: list[tuple[str, str]], width: int = WIDTH, containm
         span = LEAST_CLASS
         while span < words:
             span *= 2
-        by.setdefault(span, []).append((i, name, np.unique(h)))
+        each, times = np.unique(h, return_counts=True)
+        full[i] = dict(zip(each.tolist(), times.tolist(), strict=True))
+        by.setdefault(span, []).append((i, name, each))
     out = []
     for span, own in sorted(by.items()):
         b = bands_needed(min(least_similarity(len(s), span, containment, width) for _, _, s in own), certainty)
         seeds = tv.mix64(np.arange(1, b + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         values = np.array([[permuted(s, seed).min() for _, _, s in own] for seed in seeds])
         owner = np.argsort(values, axis=1, kind="stable")
-        out.append(LengthClass(span, seeds, np.take_along_axis(values, owner, 1), owner, [n for _, n, _ in own], [i for i, _, _ in own], [s for _, _, s in own]))
+        out.append(LengthClass(span, seeds, np.take_along_axis(values, owner, 1), owner, [n for _, n, _ in own], [i for i, _, _ in own], [s for _, _, s in own], [full[i] for i, _, _ in own]))
     return out
 
 
@@ -152,6 +158,84 @@ def window_candidates(h: np.ndarray, first: np.ndarray, c: LengthClass) -> tuple
     return at[window], end[window], template
 
 
+def tightest(own: np.ndarray, want: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """(first, last) of the stretches that hold ``need`` different shingles of sorted ``want``, none within another."""
+    at = np.flatnonzero(np.isin(own, want))
+    have: dict[int, int] = {}
+    out, left = [], 0
+    values = own[at].tolist()
+    for right, v in enumerate(values):
+        have[v] = have.get(v, 0) + 1
+        if len(have) < need:
+            continue
+        while have[values[left]] > 1 or len(have) > need:
+            have[values[left]] -= 1
+            if not have[values[left]]:
+                del have[values[left]]
+            left += 1
+        span = (int(at[left]), int(at[right]))
+        if out and out[-1][0] == span[0]:
+            continue  # the same start with a later end holds the one before
+        out.append(span)
+    return out
+
+
+def widened(own: np.ndarray, core: tuple[int, int], full: dict[int, int]) -> tuple[int, int]:
+    """The stretch around ``core``, no longer than the template (or the core), with most of its shingles; of those the shortest, then the first.
+
+    ``full``: how often the template has each shingle; further copies of one count for nothing.
+    """
+    i, j = core
+    size = max(sum(full.values()), j - i + 1)
+    lo = max(0, j - size + 1)
+    values = own[lo : min(len(own), i + size)].tolist()
+    have: dict[int, int] = {}
+    distinct = copies = 0
+    best: tuple | None = None
+    right = 0
+    for left in range(i - lo + 1):
+        while right < min(len(values), left + size):
+            v = values[right]
+            if v in full:
+                have[v] = have.get(v, 0) + 1
+                distinct += have[v] == 1
+                copies += have[v] <= full[v]
+            right += 1
+        if best is None or (distinct, copies) >= best[:2]:
+            spare, a, b = dict(have), left, right - 1
+            # Shingles at the edges that add nothing, but never the core's.
+            while a < i - lo and (values[a] not in full or spare[values[a]] > full[values[a]]):
+                spare[values[a]] = spare.get(values[a], 0) - 1
+                a += 1
+            while b > j - lo and (values[b] not in full or spare[values[b]] > full[values[b]]):
+                spare[values[b]] = spare.get(values[b], 0) - 1
+                b -= 1
+            if best is None or (distinct, copies, a - b) > best[:3]:
+                best = (distinct, copies, a - b, a, b)
+        v = values[left]
+        if v in full:
+            have[v] -= 1
+            distinct -= have[v] == 0
+            copies -= have[v] < full[v]
+    return lo + best[3], lo + best[4]
+
+
+def best_apart(hits: list[tuple]) -> list[tuple]:
+    """Of (-share, -shingles, length, name, number, first, last, core) those that stay; ``core`` is a hit of the same form, or None."""
+    kept: list[tuple] = []
+    free = lambda x: all(x[6] < y[5] or x[5] > y[6] for y in kept)
+    rest = []
+    for x in sorted(hits, key=lambda x: x[:7]):
+        if free(x):
+            kept.append(x)
+        elif x[7] is not None:
+            rest.append(x[7])
+    for x in sorted(rest, key=lambda x: x[:7]):
+        if free(x):
+            kept.append(x)
+    return kept
+
+
 def _scan(templates: list[tuple[str, str]], width: int, containment: float, certainty: float):
     names = ["doc_id", "license", "template", "start", "end", "containment"]
 
@@ -162,27 +246,30 @@ def _scan(templates: list[tuple[str, str]], width: int, containment: float, cert
                 data, off = tv.buffers(pc.utf8_lower(tv.as_strings(part.column(1))))
                 t = tv.tokens(data, off)
                 h, first = tv.ngrams(tv.token_hashes(data, t), t.first, width)
-                hits: dict[int, list[tuple]] = {}
-                for c in classes:
+                cores: dict[int, set[tuple]] = {}
+                for n, c in enumerate(classes):
                     for a, b, k in zip(*(x.tolist() for x in window_candidates(h, first, c)), strict=True):
-                        own = h[a:b]
-                        inside = np.flatnonzero(np.isin(own, c.sets[k], assume_unique=False))
-                        share = len(np.unique(own[inside])) / len(c.sets[k])
-                        if share < containment:
+                        own, want = h[a:b], c.sets[k]
+                        need = next(m for m in range(int(containment * len(want)), len(want) + 2) if m / len(want) >= containment)
+                        if len(np.unique(own[np.isin(own, want)])) < need:
                             continue
                         d = int(np.searchsorted(first, a, "right") - 1)
-                        word = int(t.first[d] - first[d])
-                        begin, end = int(t.start[word + a + inside[0]]), int(t.end[min(word + a + inside[-1] + width - 1, t.first[d + 1] - 1)])
-                        hits.setdefault(d, []).append((-share, -len(c.sets[k]), c.names[k], c.number[k], begin, end))
+                        cores.setdefault(d, set()).update((n, k, a - int(first[d]) + i, a - int(first[d]) + j) for i, j in tightest(own, want, max(need, 1)))
                 rows = []
-                for d, own in sorted(hits.items()):
-                    kept: list[tuple] = []
-                    for x in sorted(set(own)):
-                        if all(x[5] <= y[4] or x[4] >= y[5] for y in kept):
-                            kept.append(x)
+                for d, found in sorted(cores.items()):
+                    own = h[first[d] : first[d + 1]]
+                    hits = {}
+                    for n, k, i, j in sorted(found):
+                        c = classes[n]
+                        hit = lambda x, y, core: (-len(np.intersect1d(own[x : y + 1], c.sets[k])) / len(c.sets[k]), -len(c.sets[k]), y - x + width - 1, c.names[k], c.number[k], x, y + width - 1, core)  # noqa: B023, E731
+                        x, y = widened(own, (i, j), c.full[k])
+                        tight = hit(i, j, None)
+                        hits[n, k, x, y, i, j] = hit(x, y, tight if (x, y) != (i, j) else None)
                     # Lower-casing maps character by character, so offsets hold for the text as it was.
                     text = bytes(data[off[d] : off[d + 1]])
-                    for share, _, name, number, begin, end in sorted(kept, key=lambda x: x[4]):
+                    word = int(t.first[d])
+                    for share, _, _, name, number, x, y, _ in sorted(best_apart(list(hits.values())), key=lambda x: x[5]):
+                        begin, end = int(t.start[word + x]), int(t.end[min(word + y, t.first[d + 1] - 1)])
                         chars = [len(text[: p - int(off[d])].decode()) for p in (begin, end)]
                         rows.append((d, name, number, *chars, -share))
                 if rows:

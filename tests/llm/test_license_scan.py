@@ -68,3 +68,40 @@ def test_awkward_and_empty(spark):
     notice = "Released under the MIT License."
     rows = spark.createDataFrame([(1, prose(60_000, 1) + " " + notice), (2, notice), (2, notice), (None, notice)], "doc_id long, text string")
     assert sorted(str(m.doc_id) for m in ls.license_matches(rows).collect()) == ["1", "2", "2", "None"]
+
+
+def test_dual_adjacent_and_repeated_notices(spark):
+    r = random.Random(7)
+    rows, want = [(0, "Licensed under the MIT License. Licensed under the Apache License, Version 2.0.")], {0: [("MIT", 0, 30), ("Apache-2.0", 32, 78)]}
+    english = "of the work in the shop to the river and in the of any kind of the other to any person at the time "
+    for i in range(1, 60):
+        text, spans = english * r.randint(0, 2), []
+        for k in [r.randrange(len(ls.TEMPLATES)) for _ in range(r.randint(1, 4))] * (1 + i % 2):
+            name, notice = ls.TEMPLATES[k]
+            words = [m.span() for m in re.finditer(r"[0-9A-Za-z]+", notice)]
+            spans.append((name, len(text) + words[0][0], len(text) + words[-1][1]))
+            text += notice + r.choice([" ", "\n\n", " " + english * r.randint(1, 3)])
+        rows.append((i, text))
+        want[i] = spans
+    got = {}
+    for m in sorted(ls.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda m: m.start):
+        got.setdefault(m.doc_id, []).append((m.license, m.start, m.end))
+    assert got == want
+
+
+def test_tightest_stretches_against_brute_force():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        own, want = r.integers(0, 12, r.integers(1, 30)).astype(np.uint64), np.arange(r.integers(1, 7), dtype=np.uint64)
+        need = int(r.integers(1, len(want) + 1))
+        reach = {(i, j) for i in range(len(own)) for j in range(i, len(own)) if len(set(own[i : j + 1].tolist()) & set(want.tolist())) >= need}
+        least = sorted((i, j) for i, j in reach if (i + 1, j) not in reach and (i, j - 1) not in reach)
+        got = ls.tightest(own, want, need)
+        assert got == least
+        full = {int(v): int(r.integers(1, 3)) for v in want}
+        for i, j in got:
+            size = max(sum(full.values()), j - i + 1)
+            score = lambda x, y: (len(set(own[x : y + 1].tolist()) & set(full)), sum(min(own[x : y + 1].tolist().count(v), n) for v, n in full.items()))  # noqa: B023, E731
+            around = [(x, y) for x in range(i + 1) for y in range(j, len(own)) if y - x < size]
+            x, y = ls.widened(own, (i, j), full)
+            assert (x, y) in around and score(x, y) == max(score(*s) for s in around)
