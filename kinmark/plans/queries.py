@@ -334,6 +334,22 @@ def string_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(classes, "s").select(F.col("o_orderkey").alias("text"), "class")
 
 
+@query("""SELECT o_orderkey AS text, CASE o_orderkey % 4 WHEN 0 THEN 'release' WHEN 1 THEN 'container' WHEN 2 THEN 'wikidata' ELSE 'title' END AS class,
+  CASE WHEN o_orderkey % 4 = 1 THEN c.ident ELSE lpad(CAST(d.doc_id AS VARCHAR), 26, '0') END AS ident
+FROM orders LEFT JOIN documents d ON d.doc_id = o_orderkey AND o_orderkey % 4 IN (0, 2)
+LEFT JOIN (SELECT s_suppkey % 10000 AS n, min('c' || s_suppkey) AS ident FROM supplier GROUP BY n) c ON c.n = o_orderkey % 10000 AND o_orderkey % 4 = 1""")
+def string_idents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of all four classes looked up in the whole records view and in containers made of suppliers."""
+    key = F.col("o_orderkey")
+    issn = lambda x: F.concat(F.lpad((x % 10000).cast("string"), 4, "0"), F.lit("-123x"))
+    long_ident = lambda x: F.lpad(x.cast("string"), 26, "0")
+    orders = table(spark, sf_dir, "orders").select(key, F.when(key % 4 == 0, long_ident(key)).when(key % 4 == 1, issn(key)).when(key % 4 == 2, F.concat(F.lit("Q"), key)).otherwise(F.col("o_orderpriority")).alias("s"))
+    releases = records(spark, sf_dir).withColumn("ext_ids", F.col("ext_ids").withField("wikidata_qid", F.concat(F.lit("Q"), "ident"))).withColumn("ident", long_ident(F.col("ident")))
+    containers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("ident"), F.col("s_name").alias("name"), issn(F.col("s_suppkey")).alias("issnl"), F.lit(None).cast("array<string>").alias("issns"))
+    classes = match.resolve_strings(orders.select("s").distinct(), releases, containers, text="s").withColumnRenamed("text", "s")
+    return orders.join(classes, "s").select(F.col("o_orderkey").alias("text"), "class", "ident")
+
+
 @query("SELECT count(*) AS n FROM (SELECT 1 FROM orders LIMIT 2)")
 def sample_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two records at random (the operator is a sample)."""
