@@ -33,8 +33,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps half of all token blocks, the sources in equal parts as far as they reach."""
-    return keep_mixed(docs)
+    """Keeps half of all token blocks, the sources in equal parts as far as they reach; ties fall differently in each shard."""
+    return keep_mixed(docs, even=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

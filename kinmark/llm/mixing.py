@@ -8,6 +8,8 @@
 3. The k-th block of a source has the quotient weight / (2 k - 1). The highest quotients
    of a shard win until ``fraction`` of its blocks are allocated: that gives
    integer quotas per source, never above what the source has in the shard.
+   Equal quotients go by source name; with ``even`` by a seeded hash of shard and source, and the part of a
+   seat that rounding leaves is carried to the next shard, rounded up from the first on.
 4. A source's quota is filled with its blocks in seeded hash order.
 
 All of it is window functions over (shard, source) and over shards: no driver-side loop.
@@ -41,7 +43,7 @@ def target_weight(source: Column, weights: dict[str, float] | None) -> Column:
 
 def mixed_rows(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: dict[str, float] | None = None,
-    fraction: float = FRACTION, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED,
+    fraction: float = FRACTION, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, even: bool = False,
 ) -> tuple[DataFrame, Scratch]:
     """Rows (rk, id, source, shard, block, quota, tokens) of the chosen rows."""
     scratch = Scratch(docs.sparkSession, "mix")
@@ -60,8 +62,18 @@ def mixed_rows(
     have = laid.groupBy("shard", "source").agg((F.max("block") + 1).alias("n"))
     blocks = have.select("shard", "source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
     quotient = blocks.withColumn("quotient", target_weight(F.col("source"), weights) / (2 * F.col("k") - 1)).withColumn("all", F.count("*").over(W.partitionBy("shard")))
-    rank = F.row_number().over(W.partitionBy("shard").orderBy(F.col("quotient").desc(), "source", "k"))
-    quotas = quotient.withColumn("rank", rank).where((F.col("rank") <= F.floor(F.lit(float(fraction)) * F.col("all"))) & (F.col("quotient") > 0)).groupBy("shard", "source").agg(F.count("*").alias("quota"))
+    tie = [F.md5(F.concat_ws(":", F.lit(f"{seed}:tie"), "shard", "source"))] if even else []
+    rank = F.row_number().over(W.partitionBy("shard").orderBy(F.col("quotient").desc(), *tie, "source", "k"))
+    ranked = quotient.withColumn("rank", rank)
+    if even:
+        # One row per shard: the seats up to and with it, less those before it.
+        upto = F.sum("size").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow))
+        seats = lambda n: F.ceil(F.round(F.lit(float(fraction)) * n, 6))
+        per_shard = have.groupBy("shard").agg(F.sum("n").alias("size")).withColumn("upto", upto).select("shard", (seats(F.col("upto")) - seats(F.col("upto") - F.col("size"))).alias("seats"))
+        ranked = ranked.join(per_shard.hint("merge"), "shard")
+    else:
+        ranked = ranked.withColumn("seats", F.floor(F.lit(float(fraction)) * F.col("all")))
+    quotas = ranked.where((F.col("rank") <= F.col("seats")) & (F.col("quotient") > 0)).groupBy("shard", "source").agg(F.count("*").alias("quota"))
     order = F.row_number().over(W.partitionBy("shard", "source").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "shard", "source", F.col("k") - 1)), "k"))
     chosen = blocks.withColumn("turn", order).join(quotas.hint("merge"), ["shard", "source"]).where("turn <= quota").select("shard", "source", (F.col("k") - 1).alias("block"), "quota")
     # Quotas and chosen blocks grow with the corpus, so neither is ever broadcast.

@@ -55,6 +55,24 @@ def test_mixing_awkward_and_empty(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0 and mixing.keep_mixed(empty(spark)).count() == 0
 
 
+def test_ties_and_seats_even_out_over_shards(spark):
+    rows = [(i, "x" * 256, f"s{i % 12:02}") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"block_tokens": 8192, "shard_tokens": 2560}  # each source has one block in a shard
+    named = mixing.mixed_rows(docs, **options)[0].select("shard", "source").distinct().collect()
+    assert len({r.source for r in named}) < 12  # the SQL's order: late names never win
+    even = mixing.mixed_rows(docs, even=True, **options)[0].select("shard", "source").distinct().collect()
+    have = mixing.mixed_rows(docs, even=True, fraction=1.0, **options)[0].select("shard", "source").distinct().collect()
+    assert len({r.source for r in even}) == 12 and len(even) == -(-len(have) // 2)
+    won = Counter(r.source for r in even)
+    assert max(won.values()) <= 2 * min(won.values())
+
+
+def test_one_block_is_kept(spark):
+    docs = spark.createDataFrame([(1, "one short text", "a")], "doc_id long, text string, source string")
+    assert mixing.keep_mixed(docs, even=True).count() == 1
+
+
 def brute_pack(lengths, capacity, linear, quadratic):
     n = max(1, -(-sum(lengths) // capacity))
     bins = [[0.0, i, capacity] for i in range(n)]
