@@ -4,6 +4,7 @@ import numpy as np
 from kinmark.llm import secret_scan as ss
 from kinmark.llm import textvec as tv
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from .cases import awkward, empty, prose
 
@@ -86,6 +87,25 @@ def test_false_discovery_control():
     assert q[ss.BUCKETS - 1] < 0.01 and q[0] == 1.0
 
 
+def recall(reference, n, share, keys=1000):
+    """Share of random base62 keys of length n that are reported among so many ordinary candidates."""
+    x = np.random.default_rng(n).integers(0, 62, (keys, n))
+    r = ss.find_runs(*tv.buffers(pa.array(["".join(ss.ALPHABETS[8][1][i] for i in row) for row in x])))
+    cell = r.cell[~r.ordinary]
+    candidates = np.bincount(cell, minlength=len(reference)).astype(float)
+    own = slice((np.searchsorted(ss.CLASSES, n, "right") - 1) * ss.BUCKETS, np.searchsorted(ss.CLASSES, n, "right") * ss.BUCKETS)
+    candidates[own] += reference[own] / reference[own].sum() * len(cell) * share / (1 - share)
+    return (ss.decide(reference, candidates).q[cell] <= ss.FDR).sum() / keys
+
+
+def test_recall_by_length_and_ordinary_share(sf_dir):
+    texts = pq.read_table(f"{sf_dir}/documents.parquet")["text"].combine_chunks().cast(pa.string())
+    reference = np.bincount(ss.reference_cells(*tv.buffers(texts)), minlength=len(ss.CLASSES) * ss.BUCKETS).astype(float)
+    got = {share: [recall(reference, n, share) for n in (16, 40)] for share in (0.5, 0.9, 0.99)}
+    assert all(short <= long for short, long in got.values())
+    assert got[0.5][1] >= 0.9 and got[0.9][0] <= 0.05, got  # long keys are found, the shortest aren't: see the README
+
+
 def test_awkward_and_empty(spark):
     docs = awkward(spark)
     out = ss.mask_secrets(docs, count_column="n_chars")
