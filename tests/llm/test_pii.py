@@ -11,7 +11,7 @@ def test_gradient():
     x, y = r.integers(0, pii.VOCABULARY, (2, 12)).astype(np.int32), r.integers(0, pii.TAGS, (2, 12))
     _, g = m.loss(x, y)
     for k in g:
-        at = (1, int(x[0, 5]), 2) if k == "E" else tuple(int(r.integers(0, n)) for n in m.p[k].shape)
+        at = (1, 2, int(x[0, 5]), 1) if k == "E" else tuple(int(r.integers(0, n)) for n in m.p[k].shape)
         old = m.p[k][at]
         m.p[k][at] = old + 0.02
         up = m.loss(x, y)[0]
@@ -27,8 +27,9 @@ def test_viterbi_against_all_paths():
     m = pii.Tagger(2, 0)
     r = np.random.default_rng(1)
     m.p |= {"A": r.normal(size=(pii.TAGS, pii.TAGS)), "s": r.normal(size=pii.TAGS), "e": r.normal(size=pii.TAGS)}
+    a, s, e = m.moves
     score = r.normal(size=(1, 4, pii.TAGS))
-    value = lambda t: m.p["s"][t[0]] + m.p["e"][t[-1]] + sum(score[0, i, k] for i, k in enumerate(t)) + sum(m.p["A"][a, b] for a, b in zip(t, t[1:], strict=False))
+    value = lambda t: s[t[0]] + e[t[-1]] + sum(score[0, i, k] for i, k in enumerate(t)) + sum(a[x, y] for x, y in zip(t, t[1:], strict=False))
     assert tuple(m.viterbi(score)[0]) == max(product(range(pii.TAGS), repeat=4), key=value)
 
 
@@ -41,59 +42,63 @@ def test_held_out_accuracy():
 
 
 def brute_spans(model, text):
-    """All windows of the text, those without a digit or @ too, joined one by one and decoded in the same runs."""
+    """Every window of the text, one by one, and one Viterbi pass over every character."""
     p = pii.char_ids(pii.code_points(text))
-    n = len(p) // pii.STRIDE + 2
-    live = [any(48 <= c <= 57 or c == 64 for c in p[max(0, i * pii.STRIDE - pii.STRIDE // 2) : i * pii.STRIDE + 3 * pii.STRIDE // 2]) for i in range(n)]
-    spans, i = [], 0
-    while i < n:
-        if not live[i]:
-            i += 1
-            continue
-        j = i
-        while j < n and live[j]:
-            j += 1
-        total, weight = np.zeros(((j - i + 1) * pii.STRIDE, pii.TAGS)), np.zeros(((j - i + 1) * pii.STRIDE, 1))
-        for w in range(i, j):
-            x = np.zeros((1, pii.WINDOW), np.int32)
-            for t in range(pii.WINDOW):
-                at = w * pii.STRIDE - pii.STRIDE // 2 + t
-                x[0, t] = p[at] if 0 <= at < len(p) else pii.PAD
-            tri = np.minimum(np.arange(pii.WINDOW), pii.WINDOW - 1 - np.arange(pii.WINDOW))[:, None] + 1.0
-            a = (w - i) * pii.STRIDE
-            total[a : a + pii.WINDOW] += model.scores(x)[0] * tri
-            weight[a : a + pii.WINDOW] += tri
-        tags = model.viterbi((total / weight)[None].astype(np.float32))[0]
-        base, t = i * pii.STRIDE - pii.STRIDE // 2, 0
-        while t < len(tags):
-            if tags[t]:
-                kind, b = (tags[t] + 1) // 2, t + 1
-                while b < len(tags) and tags[b] == 2 * kind:
-                    b += 1
-                a, e = max(base + t, 0), min(base + b, len(p))
-                if a < e and any(48 <= c <= 57 or c == 64 for c in p[a:e]):
-                    spans.append((a, e, pii.TYPES[kind - 1]))
-                t = b
-            else:
-                t += 1
-        i = j
+    if not len(p):
+        return []
+    n = max(1, -(-(len(p) - pii.WINDOW + pii.STRIDE) // pii.STRIDE))
+    total, weight = np.zeros((len(p), pii.TAGS)), np.zeros((len(p), 1))
+    for w in range(n):
+        at = w * pii.STRIDE
+        x = np.zeros((1, pii.WINDOW), np.int32)
+        own = p[at : at + pii.WINDOW]
+        x[0, : len(own)] = own
+        tri = (np.minimum(np.arange(pii.WINDOW), pii.WINDOW - 1 - np.arange(pii.WINDOW))[:, None] + 1.0)[: len(own)]
+        total[at : at + len(own)] += model.scores(x)[0][: len(own)] * tri
+        weight[at : at + len(own)] += tri
+    tags = model.viterbi((total / weight)[None].astype(np.float32))[0]
+    spans, t = [], 0
+    while t < len(tags):
+        b = t + 1
+        if tags[t]:
+            kind = (tags[t] + 1) // 2
+            while b < len(tags) and tags[b] == 2 * kind:
+                b += 1
+            spans.append((t, b, pii.TYPES[kind - 1]))
+        t = b
     return spans
 
 
 def test_whole_texts_against_brute_force():
     model = pii.default_tagger()
     parts = [t for t, _ in pii.synthetic_examples(40, 4)]
-    texts = ["", "no digits", prose(200, 1) + " call +1 (517) 555-0938 " + prose(200, 2), " ".join(parts), parts[0] + prose(30, 3) + parts[1], "4111111111111111", "é" * 47 + " 10.20.30.40"]
+    texts = ["", "no digits", "jane at home", prose(200, 1) + " call +1 (517) 555-0938 " + prose(200, 2), " ".join(parts), parts[0] + prose(30, 3) + parts[1], "4111111111111111", "é" * 47 + " 10.20.30.40"]
     got = pii.find_spans(model, texts)
     for t, own in zip(texts, got, strict=True):
         assert own == brute_spans(model, t)
-    a, b, kind = got[2][0]
-    assert texts[2][a:b] == "+1 (517) 555-0938" and kind == "PHONE"
+    a, b, kind = got[3][0]
+    assert texts[3][a:b] == "+1 (517) 555-0938" and kind == "PHONE"
 
 
-def test_span_longer_than_a_window():
-    text = prose(10, 1) + " " + "ab.cd" * 30 + "1@mail.example.com " + prose(10, 2)
-    assert len(pii.find_spans(pii.default_tagger(), [text])) == 1  # decoded in one run, whatever its length
+def test_pieces_of_long_texts_against_brute_force(monkeypatch):
+    """Texts that are held piece by piece, and a network whose best paths are often in doubt."""
+    parts = [t for t, _ in pii.synthetic_examples(120, 9)]
+    texts = [" ".join(parts), parts[0], "", "7" * 900, "x@" * 700 + prose(100, 5)]
+    model = pii.default_tagger()
+    want = [brute_spans(model, t) for t in texts]
+    monkeypatch.setattr(pii, "HELD", 600)
+    monkeypatch.setattr(pii, "RUN_WINDOWS", 2)
+    assert pii.find_spans(model, texts) == want
+    loose = pii.Tagger(4, 3)
+    assert pii.find_spans(loose, texts[:3]) == [brute_spans(loose, t) for t in texts[:3]]
+
+
+def test_digits_of_other_scripts():
+    assert pii.char_ids(pii.code_points("\uff11\u0661\u0967@\uff20")).tolist() == [49, 49, 49, 64, 64]
+    text = "call +1 (517) 555-0938 now"
+    wide = text.translate({ord(c): 0xFF10 + int(c) for c in "0123456789"})
+    got = pii.find_spans(pii.default_tagger(), [text, wide])
+    assert got[0] == got[1] == [(5, 22, "PHONE")]
 
 
 def test_awkward_masks_and_empty(spark):
