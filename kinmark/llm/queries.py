@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .audio import audio_patches
-from .ball_tree import top_k, top_k_sql
+from .ball_tree import EVERY, top_k, top_k_sql
 from .license_scan import license_matches
 from .mixing import mix_sources, mixing_sql
 from .near_dedup import duplicate_groups
@@ -61,7 +61,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(_table(spark, sf_dir, "embeddings"))
+    """Queries are the rows whose id is divisible by 100, against all rows."""
+    return top_k(_table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % EVERY == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
