@@ -1,7 +1,7 @@
 """MinHash near-deduplication with bottom-k sketches from one hash function.
 
-1. Each document's set of hashed word shingles gives a fingerprint and its k
-   smallest hashes (the sketch). Documents of equal sets become one *node*.
+1. Each document's set of hashed word shingles gives a fingerprint of 128 bits and its k
+   smallest hashes (the sketch). Documents of equal fingerprints become one *node* with an id of its own.
 2. Inverted lists hold, per retained hash, the nodes that retain it. Values
    kept by a single node are dropped; of the rest each node keeps a prefix, rarest
    first, long enough that two nodes whose sketches overlap enough must meet in
@@ -12,6 +12,10 @@
 4. A pair passes if the similarity estimated on the k smallest values of the
    united sketches is near the threshold and the exact Jaccard similarity of the
    full shingle sets reaches it. Groups are the connected components.
+
+A shingle may be in every document: lists are counted and led by partial aggregates that are joined back, and a
+join splits a hot list over tasks (adaptive skew join); no window has a shingle as its partition.
+Working tables are deleted as soon as nothing reads them; only the table of the result stays.
 """
 
 from __future__ import annotations
@@ -26,39 +30,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import Scratch, free_name, row_key
+from .shared import Scratch, free_name, row_key, second_key
 
 K, WIDTH, THRESHOLD, DEVIATIONS = 64, 3, 0.5, 3.0
 #: Leaders are elected until the pairs left are at most so many times the postings.
 PAIRS_PER_POSTING = 4
 
 
-def sketch_sets(text: pa.Array, k: int, width: int) -> tuple[list[int | None], list[np.ndarray]]:
-    """Fingerprint of each text's shingle set (None: no words) and its k smallest hashes."""
+def sketch_sets(text: pa.Array, k: int, width: int) -> tuple[list[int | None], list[int | None], list[np.ndarray]]:
+    """The two halves of a fingerprint of each text's shingle set (None: no words) and its k smallest hashes."""
     h, off = tv.shingles(text, width)
     h = (h >> np.uint64(1)).astype(np.int64)
-    nodes, kept = [], []
+    one, two, kept = [], [], []
     for a, b in zip(off[:-1], off[1:], strict=True):
         if a == b:
-            nodes.append(None)
+            one.append(None)
+            two.append(None)
             kept.append(h[a:b])
             continue
         own = np.unique(h[a:b])
-        total = np.add.reduce(tv.mix64(own.astype(np.uint64)), keepdims=True) + np.uint64(len(own))
-        nodes.append(int(tv.mix64(total).astype(np.int64)[0]))
+        mixed = tv.mix64(own.astype(np.uint64))
+        for half, values in ((one, mixed), (two, tv.mix64(mixed ^ np.uint64(0x5851F42D4C957F2D)))):
+            total = np.add.reduce(values, keepdims=True) + np.uint64(len(own))
+            half.append(int(tv.mix64(total).astype(np.int64)[0]))
         kept.append(own[:k])
-    return nodes, kept
+    return one, two, kept
 
 
 def _sketches(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.chunks(batch, "text"):
-                nodes, kept = sketch_sets(part.column(2), k, width)
+                one, two, kept = sketch_sets(part["text"], k, width)
                 flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 off = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
                 sk = pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), sk], ["rk", "id", "node", "sk"])
+                yield pa.RecordBatch.from_arrays([part["rk"], part["rk2"], part["id"], pa.array(one, pa.int64()), pa.array(two, pa.int64()), sk], ["rk", "rk2", "id", "f1", "f2", "sk"])
 
     return run
 
@@ -88,11 +95,6 @@ def _verify(width: int, threshold: float):
     return run
 
 
-def least_overlap(size: int, k: int, threshold: float, deviations: float) -> int:
-    """The fewest values that a sketch of ``size`` must share in a pair that can pass the estimate."""
-    return max(1, math.ceil(estimate_floor(k, threshold, deviations) * size))
-
-
 def estimate_floor(k: int, threshold: float, deviations: float) -> float:
     return max(threshold / 4, threshold - deviations * math.sqrt(threshold * (1 - threshold) / k))
 
@@ -107,24 +109,28 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     was = mark(now)
     while was[0]:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.min("v").over(W.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        star = large.withColumn("m", F.min("v").over(W.partitionBy("u")))
-        small = star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        # A hub may have any number of neighbours: its least one is a partial aggregate, joined back.
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        star = scratch.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lower = star.groupBy("u").agg(F.min("v").alias("m"))
+        small = star.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = scratch.write(small)
-        scratch.drop(now)
+        scratch.drop(now, star)
         now, is_ = new, mark(new)
         if is_ == was:
             break
         was = is_
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    out._kinmark_path = now._kinmark_path
+    return out
 
 
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = K, width: int = WIDTH, threshold: float = THRESHOLD, deviations: float = DEVIATIONS
 ) -> tuple[DataFrame, Scratch]:
-    """Rows (rk, id, group, n) for every row that has a near copy; ``rk`` is ``row_key``.
+    """Rows (rk, rk2, id, group, n) for every row that has a near copy; ``rk`` and ``rk2`` are ``row_key`` and ``second_key``.
 
+    Ids keep their type.
     Texts that are null or without words belong to no group. A repeated row is
     a copy of itself. Rows with a null or a repeated id are told apart by text.
     Texts shorter than ``width`` words have one shingle of all their words.
@@ -132,34 +138,40 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    source = docs.select(row_key(id_column, text_column).alias("rk"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    rows = scratch.write(source.mapInArrow(_sketches(k, width), "rk long, id long, node long, sk array<long>"))
-    nodes = scratch.write(rows.where("node is not null").groupBy("node").agg(F.min("rk").alias("rk"), F.count("*").alias("copies"), F.first("sk").alias("sk")))
+    id_type = docs.schema[id_column].dataType.simpleString()
+    source = docs.select(row_key(id_column, text_column).alias("rk"), second_key(id_column, text_column).alias("rk2"), F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = scratch.write(source.mapInArrow(_sketches(k, width), f"rk long, rk2 long, id {id_type}, f1 long, f2 long, sk array<long>"))
+    one = rows.where("f1 is not null").groupBy("f1", "f2").agg(F.min(F.struct("rk", "rk2")).alias("r"), F.count("*").alias("copies"), F.first("sk").alias("sk"))
+    nodes = scratch.write(one.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "r.rk", "r.rk2", "copies", "sk"))
 
     # Inverted lists: postings (v, node) of each node's prefix, rarest first.
     floor = estimate_floor(k, threshold, deviations)
-    seen = nodes.select("node", F.size("sk").alias("m"), F.explode("sk").alias("v")).withColumn("df", F.count("*").over(W.partitionBy("v"))).where("df > 1")
+    seen = nodes.select("node", F.size("sk").alias("m"), F.explode("sk").alias("v"))
+    shared = nodes.select(F.explode("sk").alias("v")).groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     need = F.greatest(F.lit(1), F.ceil(F.lit(floor) * F.col("m")))
-    prefix = seen.withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy("df", "v"))).withColumn("cnt", F.count("*").over(W.partitionBy("node"))).where(F.col("rank") <= F.col("cnt") - need + 1)
-    lists = prefix.select("v", "node")
-    # Values whose list fell to a single node in the prefixes give no pair.
-    postings = scratch.write(lists.withColumn("n", F.count("*").over(W.partitionBy("v"))).where("n > 1").select("v", "node"))
+    ranked = seen.join(shared, "v").withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy("df", "v"))).withColumn("cnt", F.count("*").over(W.partitionBy("node")))
+    postings = scratch.write(ranked.where(F.col("rank") <= F.col("cnt") - need + 1).select("v", "node"))
     whole = postings.count()
 
-    edges: DataFrame | None = None
     comps: DataFrame | None = None
-    tested: DataFrame | None = None
     texts: DataFrame | None = None
+    sketches: DataFrame | None = None
+    posted: DataFrame | None = postings
+    every: list[DataFrame] = []
+    tested: DataFrame | None = None
     if whole:
         involved = nodes.join(postings.select("node").distinct(), "node", "left_semi")
-        texts = scratch.write(source.select("rk", "text").join(involved.select("rk", "node"), "rk").select("node", "text"))
+        texts = scratch.write(source.select("rk", "rk2", "text").join(involved.select("rk", "rk2", "node"), ["rk", "rk2"]).dropDuplicates(["node"]).select("node", "text"))
         sketches = scratch.write(involved.select("node", "sk"))
 
+    steps: list[DataFrame] = []
+
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = sketches.select(F.col("node").alias("a"), F.col("sk").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sk").alias("sb"))
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         near = pairs.join(a, "a").join(b, "b").withColumn("u", union).where(F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))) >= F.lit(floor) * F.size("u")).select("a", "b")
         near = scratch.write(near)
+        steps.append(near)
         ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         return near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(width, threshold), "a long, b long, jaccard double").select("a", "b").distinct()
 
@@ -181,18 +193,27 @@ def near_duplicates(
             x, y = labelled.select("v", F.col("node").alias("a"), F.col("comp").alias("ca")), labelled.select("v", F.col("node").alias("b"), F.col("comp").alias("cb"))
             pairs = x.join(y, "v").where("a < b and ca <> cb").select("a", "b").distinct()
         else:
-            lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).over(W.partitionBy("v"))
-            led = scratch.write(labelled.withColumn("lead", lead).select("v", "node", "comp", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("lc")))
+            labelled = scratch.write(labelled)
+            lead = labelled.groupBy("v").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("lead"))
+            led = scratch.write(labelled.join(lead, "v").select("v", "node", "comp", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("lc")))
+            scratch.drop(labelled)
             pairs = led.where("comp <> lc").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
+        every.append(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = scratch.write(verified(pairs))
-        edges = found if edges is None else edges.unionByName(found)
-        comps = components(edges, scratch)
+        scratch.drop(*steps)
+        steps.clear()
+        # Components of the edges so far: those of the earlier ones are edges from each node to its component.
+        known = found if comps is None else found.select("a", "b").unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        new = components(known, scratch)
+        scratch.drop(found, *([comps] if comps is not None else []), *([posted] if posted is not None else []))
+        comps, posted = new, None
         if last:
             break
+        posted = led
         postings = led.where("node <> leader").select("v", "node")
 
     grouped = nodes.select("node", "copies")
@@ -200,15 +221,20 @@ def near_duplicates(
         grouped = grouped.withColumn("comp", F.col("node"))
     else:
         grouped = grouped.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # A group of several nodes, or one node of several rows.
-    sizes = grouped.withColumn("n", F.sum("copies").over(W.partitionBy("comp"))).where("n > 1").select("node", "comp", "n")
-    out = scratch.write(rows.where("node is not null").select("rk", "id", "node").join(sizes, "node").select("rk", "id", F.col("comp").alias("group"), "n"))
-    scratch.drop(rows, nodes)
-    if texts is not None:
-        scratch.drop(texts, sketches)
+    # A group of several nodes, or one node of several rows.
+    sizes = grouped.groupBy("comp").agg(F.sum("copies").alias("n")).where("n > 1")
+    members = grouped.join(sizes, "comp").join(nodes.select("node", "f1", "f2"), "node").select("f1", "f2", F.col("comp").alias("group"), "n")
+    out = scratch.write(rows.where("f1 is not null").select("rk", "rk2", "id", "f1", "f2").join(members, ["f1", "f2"]).select("rk", "rk2", "id", "group", "n"))
+    scratch.drop(rows, nodes, *every, *[x for x in (posted, comps, texts, sketches) if x is not None])
     return out, scratch
 
 
+def _first_rows(found: DataFrame) -> DataFrame:
+    """Rows (group, low, first) with the smallest id and the sort key of the row that stays: a partial aggregate per group."""
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "rk", "rk2")
+    return found.groupBy("group").agg(F.min("id").alias("low"), F.min(key).alias("first"))
+
+
 def duplicate_groups(docs: DataFrame, **options) -> DataFrame:
     """One row per document with a near copy: doc_id, group_id, group_size and whether it is the one kept.
 
@@ -217,8 +243,15 @@ def duplicate_groups(docs: DataFrame, **options) -> DataFrame:
     without any id has a null ``group_id``.
     """
     found, _ = near_duplicates(docs, **options)
-    first = F.row_number().over(W.partitionBy("group").orderBy(F.col("id").asc_nulls_last(), "rk"))
-    return found.select(F.col("id").alias("doc_id"), F.min("id").over(W.partitionBy("group")).alias("group_id"), F.col("n").alias("group_size"), (first == 1).alias("kept"))
+    first = _first_rows(found)
+    named = found.join(first, "group")
+    # Of repeated rows with the key of the first, one is kept: only they are numbered.
+    best = (F.col("rk") == F.col("first.rk")) & (F.col("rk2") == F.col("first.rk2"))
+    cols = [F.col("id").alias("doc_id"), F.col("low").alias("group_id"), F.col("n").alias("group_size")]
+    others = named.where(~best).select(*cols, F.lit(False).alias("kept"))
+    kept = named.where(best).groupBy("group", "id", "low", "n").agg(F.count("*").alias("c"))
+    kept = kept.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("i")).select("doc_id", "group_id", "group_size", (F.col("i") == 1).alias("kept"))
+    return others.unionByName(kept)
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
@@ -228,13 +261,13 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     repeated rows exactly one stays.
     """
     found, scratch = near_duplicates(docs, id_column, text_column, **options)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk")).over(W.partitionBy("group"))
-    named = found.withColumn("stay", F.col("rk") == first["rk"])
-    key = free_name(docs.columns, "__rk")
-    fate = scratch.write(named.groupBy(F.col("rk").alias(key)).agg(F.max("stay").alias("stay"), F.count("*").alias("rows")).where("not stay or rows > 1"))
-    keyed = docs.withColumn(key, row_key(id_column, text_column))
-    out = keyed.join(fate.select(key), key, "left_anti")
-    once = fate.where("stay").select(key)
+    named = found.join(_first_rows(found).select("group", "first"), "group").withColumn("stay", (F.col("rk") == F.col("first.rk")) & (F.col("rk2") == F.col("first.rk2")))
+    key, key2 = free_name(docs.columns, "__rk"), free_name(docs.columns, "__rk2")
+    fate = scratch.write(named.groupBy(F.col("rk").alias(key), F.col("rk2").alias(key2)).agg(F.max("stay").alias("stay"), F.count("*").alias("rows")).where("not stay or rows > 1"))
+    scratch.drop(found)
+    keyed = docs.withColumns({key: row_key(id_column, text_column), key2: second_key(id_column, text_column)})
+    out = keyed.join(fate.select(key, key2), [key, key2], "left_anti")
+    once = fate.where("stay").select(key, key2)
     if not once.isEmpty():
-        out = out.unionByName(keyed.join(once, key, "left_semi").dropDuplicates([key]))
+        out = out.unionByName(keyed.join(once, [key, key2], "left_semi").dropDuplicates([key, key2]))
     return out.select(*docs.columns)

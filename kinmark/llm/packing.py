@@ -8,7 +8,8 @@ one by one to the sequence of lowest cost that still has room for them. A
 shard starts with as many sequences as its tokens fill and opens another only if
 a piece fits none.
 
-Only ids and lengths are shuffled; a shard is packed by one task whose size does
+Lengths are those of the tokenizer's ids, the id that closes a document included, so a sequence never overflows; piece p of a
+document is its ids from p * capacity on. Only ids and lengths are shuffled; a shard is packed by one task whose size does
 not depend on the corpus.
 """
 
@@ -16,11 +17,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mixing import token_estimate
-from .shared import row_key
+from .shared import Scratch, row_key
+from .token_shards import token_count
 
 CAPACITY, SHARD_TOKENS, LINEAR, QUADRATIC = 4096, 4_194_304, 1.0, 1 / 12288
 
@@ -48,13 +50,15 @@ def pack_documents(
 ) -> DataFrame:
     """One row per sequence: shard, sequence, doc_ids, pieces, lengths (in packing order), n_tokens and cost.
 
-    ``tokens`` is the column of token counts; unless given, counts are estimated from the text.
+    ``tokens`` is the column of token counts; unless given, the tokenizer of ``token_shards`` counts them.
     Texts that are null, empty or without tokens take no room and are left out. Repeated rows are
-    packed each; a null id stays null in ``doc_ids``. An empty table gives no rows. Ties go by
+    packed each; ids keep their type and a null one stays null in ``doc_ids``. An empty table gives no rows. Ties go by
     id (null last), row and piece, and to the sequence opened first.
     """
-    count = F.coalesce((token_estimate(F.col(text_column)) if tokens is None else tokens).cast("long"), F.lit(0))
-    sized = docs.select(row_key(id_column, text_column).alias("rk"), F.col(id_column).cast("long").alias("id"), count.alias("n")).where("n > 0")
+    kind = docs.schema[id_column].dataType.simpleString()
+    count = F.coalesce((token_count(F.col(text_column).cast("string")) if tokens is None else tokens).cast("long"), F.lit(0))
+    # Ids and lengths alone are written, so that no text is tokenized twice.
+    sized = Scratch(docs.sparkSession, "pack").write(docs.select(row_key(id_column, text_column).alias("rk"), F.col(id_column).alias("id"), count.alias("n"))).where("n > 0")
     shards = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // shard_tokens))
     pieces = sized.select("rk", "id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {capacity}"))).alias("piece"))
     spread = pieces.select("rk", "id", "piece", F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("m"), F.pmod(F.xxhash64("rk", "piece"), F.lit(shards)).alias("shard"))
@@ -62,7 +66,7 @@ def pack_documents(
     def run(table: pa.Table) -> pa.Table:
         rk, ids, piece, m = (table[c].combine_chunks() for c in ("rk", "id", "piece", "m"))
         lengths = m.to_numpy()
-        order = np.lexsort((piece.to_numpy(), rk.to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), -lengths))
+        order = np.lexsort((piece.to_numpy(), rk.to_numpy(), pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy(), -lengths))
         to, n = pack(lengths[order], capacity, linear, quadratic)
         order = order[np.argsort(to, kind="stable")]
         off = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=n))]).astype(np.int32)
@@ -74,4 +78,4 @@ def pack_documents(
             "n_tokens": pa.array(np.add.reduceat(own, off[used]).astype(np.int64)), "cost": pa.array(np.add.reduceat(linear * own + quadratic * own * own, off[used])),
         })
 
-    return spread.groupBy("shard").applyInArrow(run, "shard long, sequence long, doc_ids array<long>, pieces array<long>, lengths array<long>, n_tokens long, cost double")
+    return spread.groupBy("shard").applyInArrow(run, f"shard long, sequence long, doc_ids array<{kind}>, pieces array<long>, lengths array<long>, n_tokens long, cost double")

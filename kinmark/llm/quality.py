@@ -7,8 +7,8 @@ n-grams are also taken of token shapes (case, class, whether it repeats the
 token before it or the one before that), which new words share with known ones.
 A score is the sparse dot product of the frequencies and the weights.
 
-The model is fitted on a bounded sample of labelled rows (``max_labelled``, smallest
-hash of the id); scores cover every row.
+The model is fitted on a bounded sample of labelled rows (at most ``max_labelled``, those of the smallest
+hashes of ids); scores cover every row.
 """
 
 from __future__ import annotations
@@ -109,19 +109,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epoc
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, max_labelled: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("y"))
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
-    # The sample is chosen by id alone; only its texts are read in full.
-    known = one.join(source.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    picked = source.join(F.broadcast(known), "id")  # at most max_labelled rows of two numbers
+    one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.min("quality").cast("int").alias("y"))
+    source = docs.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null and text is not null").withColumn("th", F.xxhash64("text"))
+    # The sample is chosen by ids and hashes of texts alone, of which repeated rows have one; only its texts are read in full.
+    known = one.join(source.select("id", "th").distinct(), "id").orderBy(F.xxhash64("id"), "id", "th").limit(max_labelled)
+    picked = source.join(F.broadcast(known), ["id", "th"]).groupBy("id", "th").agg(F.first("text").alias("text"), F.first("y").alias("y"))  # at most max_labelled rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.chunks(batch, "text"):
-                got = sparse(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["id", "y", "idx", "val"])
+                got = sparse(part["text"])
+                yield pa.RecordBatch.from_arrays([part["id"], part["y"], pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["id", "y", "idx", "val"])
 
-    table = picked.select("id", "text", "y").mapInArrow(run, "id long, y int, idx array<int>, val array<float>").toArrow()
+    table = picked.select("id", "text", "y").mapInArrow(run, "id string, y int, idx array<int>, val array<float>").toArrow()
     rows = [(i, tuple(a.values.to_numpy()), a.values.to_numpy(), b.values.to_numpy(), y) for i, a, b, y in zip(table["id"].to_pylist(), table["idx"], table["val"], table["y"].to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[0], r[1]))
     return [(a, b, int(y > 0)) for _, _, a, b, y in rows]
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     """The classifier for ``labels`` (doc_id, quality 0/1) over ``docs``.
 
     Rows with a null id, label or text are not learnt from; of contradicting labels of
-    one id the lower counts.
+    one id the lower counts, and repeated rows count once. Ids of any type are compared as strings.
     """
     return train(labelled_rows(docs, labels, id_column, text_column, max_labelled))
 
@@ -157,6 +157,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
+    """The documents that are not rejected, with their own columns, whatever their names.
+
+    A null, empty or blank text is rejected. Repeated rows stay or go together, and a null id doesn't matter. Without
+    labels only texts without a word go. An empty table stays empty.
+    """
     model = fit(docs, labels, id_column, text_column, max_labelled)
     return docs.where(score_column(model, F.col(text_column)) >= threshold)

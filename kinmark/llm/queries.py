@@ -53,7 +53,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_table(spark, sf_dir, "documents"))
+    """Sources are weighed by the square roots of their tokens, so large ones give way without being levelled."""
+    return mix_sources(_table(spark, sf_dir, "documents"), tempered=True)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,7 +308,11 @@ def masked(text: Column, made: Decision, fdr: float = FDR, mask: str = MASK) ->
 
 
 def mask_secrets(docs: DataFrame, text_column: str = "text", count_column: str | None = None, fdr: float = FDR, mask: str = MASK) -> DataFrame:
-    """Every row, with secrets replaced in its text; a column of character counts is brought up to date if it is named."""
+    """Every row, with secrets replaced in its text; a column of character counts is brought up to date if it is named.
+
+    Null and empty texts stay as they are; repeated rows change alike and null ids don't matter. An empty table stays
+    empty. Other columns are untouched, whatever their names.
+    """
     made = calibrate(docs, text_column)
     out = docs.withColumn(text_column, masked(F.col(text_column), made, fdr, mask))
     if count_column and count_column in docs.columns:

@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset (local tests)."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="kinmark-")
-        sc.setCheckpointDir(at)
-        at = sc.getCheckpointDir()
+        if sc.applicationId not in _OWN:
+            _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="kinmark-")
+        at = _OWN[sc.applicationId]
     return at.rstrip("/")
 
 
@@ -46,10 +49,15 @@ class Scratch:
 
 
 def row_key(id_column: str, text_column: str) -> Column:
-    """64-bit key of a row: equal exactly for repeated rows, and defined for null ids and texts."""
+    """64-bit key of a row: equal for repeated rows, and defined for null ids and texts."""
     return F.xxhash64(F.col(id_column).cast("string"), F.col(text_column), F.col(id_column).isNull(), F.col(text_column).isNull())
 
 
+def second_key(id_column: str, text_column: str) -> Column:
+    """Another 64 bits of a row: with ``row_key`` a key on which rows can be told apart in any corpus."""
+    return F.xxhash64(F.lit("second"), F.length(F.col(text_column).cast("string")), F.col(text_column).cast("string"), F.col(id_column).cast("string"), F.col(id_column).isNull())
+
+
 def free_name(columns: list[str], base: str) -> str:
     """A column name that none of ``columns`` has, whatever their case."""
     taken = {c.lower() for c in columns}

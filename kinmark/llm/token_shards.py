@@ -12,6 +12,7 @@ has ``shard_tokens`` ids. A document is never cut between shards.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -19,12 +20,16 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textvec as tv
 
 TOKENIZER, END, SHARD_TOKENS, SAMPLE = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256, 1 << 20, 128
+#: Runs of one kind (blank or not) above this length are cut before the tokenizer sees them, as its pattern and its merges can't hold them.
+LONGEST_RUN = 4096
+_LONG_RUN = re.compile(rf"\s{{{LONGEST_RUN},}}|\S{{{LONGEST_RUN},}}")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -88,15 +93,36 @@ def tokenizer(path: str):
     return tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _shards(path: str, end: int | None, shard_tokens: int):
+def encode(path: str, text: str) -> list[int]:
+    """Ids of a text of any shape; they decode to the text itself. Runs of ``LONGEST_RUN`` blanks or non-blanks and more are cut in pieces of that length."""
+    own = tokenizer(path).encode_ordinary
+    if len(text) < LONGEST_RUN or not (runs := list(_LONG_RUN.finditer(text))):
+        return own(text)
+    cuts = sorted({0, len(text), *(c for r in runs for c in (*range(r.start(), r.end(), LONGEST_RUN), r.end()))})
+    return [i for a, b in zip(cuts, cuts[1:], strict=False) for i in own(text[a:b])]
+
+
+def token_count(text: Column, tokenizer_path: str = TOKENIZER, end: int | None = END) -> Column:
+    """Number of ids of each text, its closing id included; null for null, 0 for an empty text."""
+
+    @F.arrow_udf("long")
+    def count_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        more = 0 if end is None else 1
+        for column in batches:
+            texts = column.cast(pa.string()).to_pylist()
+            yield pa.array([None if t is None else len(encode(tokenizer_path, t)) + more if t else 0 for t in texts], pa.int64())
+
+    return count_tokens(text)
+
+
+def _shards(path: str, end: int | None, shard_tokens: int, id_type: pa.DataType):
     names = ["shard", "n_docs", "n_tokens", "doc_ids", "id_bytes", "ids", "low_bits", "low", "high", "samples"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_ordinary
         tail = [] if end is None else [end]
         kind = np.dtype("<u2") if max(tokenizer(path).max_token_value, end or 0) < 1 << 16 else np.dtype("<u4")
         part, turn = TaskContext.get().partitionId(), 0
-        docs: list[int | None] = []
+        docs: list = []
         ids: list[np.ndarray] = []
         size = 0
 
@@ -104,14 +130,14 @@ def _shards(path: str, end: int | None, shard_tokens: int):
             nonlocal docs, ids, size, turn
             ef = EliasFano.encode(np.concatenate([[0], np.cumsum([len(x) for x in ids])]))
             row = [part << 32 | turn, len(docs), size, docs, kind.itemsize, np.concatenate(ids).tobytes(), ef.low_bits, ef.low, ef.high, ef.samples]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(id_type), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             docs, ids, size, turn = [], [], 0, turn + 1
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
             for piece in tv.chunks(batch, "text"):
                 for one, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    own = np.array(encode(text or "") + tail, kind)
+                    own = np.array(encode(path, text or "") + tail, kind)
                     docs.append(one)
                     ids.append(own)
                     size += len(own)
@@ -127,12 +153,15 @@ def token_shards(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per shard: shard, n_docs, n_tokens, doc_ids, id_bytes, ids, low_bits, low, high, samples.
 
     ``end`` is the id that closes each document (None: none). A null text is an empty document: its
-    end id alone. Repeated rows are written each; null ids stay null. An
+    end id alone. Repeated rows are written each; ids keep their type and null ones stay null. Runs of
+    blanks or non-blanks of any length are cut for the tokenizer (``encode``), and decode unchanged. An
     empty table gives no rows. Strings of special tokens in a text are ordinary text.
+    Other columns are ignored. ``tokenizer_path`` must be readable on every executor.
     """
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    schema = "shard long, n_docs long, n_tokens long, doc_ids array<long>, id_bytes int, ids binary, low_bits int, low binary, high binary, samples binary"
-    return source.mapInArrow(_shards(tokenizer_path, end, shard_tokens), schema)
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    kind = docs.schema[id_column].dataType.simpleString()
+    schema = f"shard long, n_docs long, n_tokens long, doc_ids array<{kind}>, id_bytes int, ids binary, low_bits int, low binary, high binary, samples binary"
+    return source.mapInArrow(_shards(tokenizer_path, end, shard_tokens, to_arrow_type(docs.schema[id_column].dataType)), schema)
 
 
 def boundaries(row) -> EliasFano:

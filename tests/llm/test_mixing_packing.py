@@ -3,7 +3,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
-from kinmark.llm import mixing, packing
+from kinmark.llm import mixing, packing, token_shards
+
+from pyspark.sql import functions as F
 
 from .cases import awkward, awkward_rows, empty, prose
 
@@ -36,7 +38,10 @@ def test_equals_sql(spark, sf_dir):
     got = sorted(map(tuple, mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()))
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
-    assert got == sorted(con.sql(mixing.mixing_sql()).fetchall())
+    assert got == sorted(con.sql(mixing.mixing_sql(tempered=False)).fetchall())
+    got = sorted(map(tuple, mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), tempered=True, shard_tokens=1 << 15, block_tokens=256).collect()))
+    want = sorted(con.sql(mixing.mixing_sql(256, 1 << 15)).fetchall())
+    assert got == want and len({r[3:5] for r in want}) > 1
 
 
 def test_kept_rows_are_those_mixed(spark, sf_dir):
@@ -70,7 +75,7 @@ def test_ties_and_seats_even_out_over_shards(spark):
 
 def test_one_block_is_kept(spark):
     docs = spark.createDataFrame([(1, "one short text", "a")], "doc_id long, text string, source string")
-    assert mixing.keep_mixed(docs, even=True).count() == 1
+    assert mixing.keep_mixed(docs, even=True).count() == 1 and mixing.keep_mixed(docs).count() == 1
 
 
 def brute_pack(lengths, capacity, linear, quadratic):
@@ -100,7 +105,7 @@ def test_pack_against_brute_force():
 def test_every_token_is_packed_once(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = {r.doc_id: -(-len(r.text) // 4) for r in docs.select("doc_id", "text").collect()}
-    seqs = packing.pack_documents(docs, shard_tokens=1 << 15).collect()
+    seqs = packing.pack_documents(docs, tokens=mixing.token_estimate(F.col("text")), shard_tokens=1 << 15).collect()
     got = Counter()
     for s in seqs:
         assert s.n_tokens == sum(s.lengths) <= packing.CAPACITY
@@ -114,7 +119,7 @@ def test_every_token_is_packed_once(spark, sf_dir):
 
 def test_shards_match_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    seqs = packing.pack_documents(docs, shard_tokens=1 << 15).collect()
+    seqs = packing.pack_documents(docs, tokens=mixing.token_estimate(F.col("text")), shard_tokens=1 << 15).collect()
     for shard in {s.shard for s in seqs}:
         own = [s for s in seqs if s.shard == shard]
         lengths = sorted((m for s in own for m in s.lengths), reverse=True)
@@ -126,8 +131,19 @@ def test_shards_match_brute_force(spark, sf_dir):
 
 
 def test_packing_awkward_and_empty(spark):
-    got = packing.pack_documents(awkward(spark), capacity=64).collect()
+    got = packing.pack_documents(awkward(spark), tokens=mixing.token_estimate(F.col("text")), capacity=64).collect()
     total = sum(-(-len(r[1]) // 4) for r in awkward_rows() if r[1])
     assert sum(s.n_tokens for s in got) == total
     assert sum(m for s in got for d, m in zip(s.doc_ids, s.lengths, strict=True) if d == 6) == 3 * -(-len(prose(80, 1)) // 4)
     assert packing.pack_documents(empty(spark)).count() == 0
+
+
+def test_lengths_are_those_of_the_ids(spark):
+    texts = {"a": "one two three", "b": prose(60, 1), "c": "", "d": None, "e": "\n" * 9000}
+    seqs = packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id string, text string"), capacity=32).collect()
+    got = Counter()
+    for s in seqs:
+        assert s.n_tokens <= 32
+        for d, m in zip(s.doc_ids, s.lengths, strict=True):
+            got[d] += m
+    assert got == {d: len(token_shards.encode(token_shards.TOKENIZER, t)) + 1 for d, t in texts.items() if t}

@@ -1,7 +1,6 @@
 import re
 from itertools import combinations
 
-import pytest
 from kinmark.llm import near_dedup as nd
 
 from .cases import awkward, awkward_rows, empty, prose
@@ -77,6 +76,16 @@ def test_empty(spark):
     assert nd.drop_near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("size", [1, 10, 64])
-def test_sketch_overlap_is_enough_for_the_estimate(size):
-    assert 1 <= nd.least_overlap(size, 64, 0.5, 3.0) <= size
+def test_one_shingle_in_every_document_and_string_ids(spark):
+    """A shingle that all share makes one list of all documents: only the copies are grouped, and ids stay strings."""
+    rows = [(f"d{i:03}", "all of these share this line " + prose(40, i)) for i in range(150)] + [("d900", "all of these share this line " + prose(40, 7))]
+    got = nd.duplicate_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.group_id, r.group_size, r.kept) for r in got) == [("d007", "d007", 2, True), ("d900", "d007", 2, False)]
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark):
+    rows = spark.createDataFrame([(i, prose(60, i % 3)) for i in range(9)], "doc_id long, text string")
+    found, scratch = nd.near_duplicates(rows)
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch.at)
+    left = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    assert [f.getPath().getName() for f in left] == [found._kinmark_path.rsplit("/", 1)[1]]

@@ -59,3 +59,11 @@ def test_awkward_and_empty(spark):
     none = labels.limit(0)
     assert {r.score for r in q.quality_scores(docs, none).collect()} == {0.0, 0.5}
     assert q.quality_scores(empty(spark), labels).count() == 0 and q.drop_low_quality(empty(spark), none).count() == 0
+
+
+def test_sample_is_bounded_by_rows_and_ids_may_be_strings(spark):
+    docs = spark.createDataFrame([("a", "good words here")] * 50 + [("b", "### bad %%")] * 50 + [("c", f"text {i}") for i in range(30)], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1), ("b", 0), ("c", 1)], "doc_id string, quality int")
+    assert len(q.labelled_rows(docs, labels, "doc_id", "text", 1000)) == 32
+    assert len(q.labelled_rows(docs, labels, "doc_id", "text", 5)) == 5
+    assert q.quality_scores(docs, labels).count() == 130

@@ -1,10 +1,13 @@
+import itertools
+import math
 import random
+import re
 
 import numpy as np
-from kinmark.llm import secret_scan as ss
-from kinmark.llm import textvec as tv
 import pyarrow as pa
 import pyarrow.parquet as pq
+from kinmark.llm import secret_scan as ss
+from kinmark.llm import textvec as tv
 
 from .cases import awkward, empty, prose
 
@@ -116,3 +119,87 @@ def test_awkward_and_empty(spark):
     long = spark.createDataFrame([(1, prose(50_000, 1) + " 9f8e7d6c5b4a39281706f5e4d3c2b1a0ffee1234 " + prose(10, 2)), (None, "9f8e7d6c5b4a39281706f5e4d3c2b1a0ffee1234 é " * 2)], "doc_id long, text string")
     spans = ss.secret_spans(long, fdr=1.0).collect()
     assert len(spans) == 3 and {r.doc_id for r in spans} == {1, None}
+
+
+# ---- The whole operator once more, in plain Python
+
+
+def plain_battery(x, k):
+    """p-values of chi-squared, runs and serial correlation, and Fisher's combination, by their textbook formulas."""
+    n = len(x)
+    cdf = lambda z: 0.5 * math.erfc(-max(-9.0, min(9.0, z)) / math.sqrt(2))
+    both = lambda z: max(2 * cdf(-abs(z)), 1e-15)
+    stat = sum((x.count(c) - n / k) ** 2 / (n / k) for c in range(k))
+    df = (k - 1) * n / max(n - 1, 1)
+    scaled = max(stat * n / max(n - 1, 1), 0) / df
+    chi = both((scaled ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [2 * c >= k for c in x]
+    n1, r = sum(high), sum(1 for _ in itertools.groupby(high))
+    mean = 1 + 2 * n1 * (n - n1) / n
+    var = (mean - 1) * (mean - 2) / max(n - 1, 1)
+    runs = both(math.copysign(max(abs(r - mean) - 0.5, 0), r - mean) / math.sqrt(var)) if var > 0 else max(2.0 ** (1 - min(n, 45)), 1e-15)
+    m = sum(x) / n
+    ss = sum((c - m) ** 2 for c in x)
+    serial = both((sum((x[i] - m) * (x[(i + 1) % n] - m) for i in range(n)) / ss + 1 / max(n - 1, 1)) * math.sqrt(n)) if ss > 1e-9 else 1e-15
+    h = -(math.log(chi) + math.log(runs) + math.log(serial))
+    return chi, runs, serial, math.exp(-h) * (1 + h + h * h / 2)
+
+
+def test_battery_against_plain_python():
+    r = random.Random(3)
+    strings = [[r.randrange(k) for _ in range(n)] for k in (10, 16, 26, 62) for n in (16, 23, 40, 128)] + [[0] * 20, list(range(26)), [1, 0] * 12]
+    sizes = [k for k in (10, 16, 26, 62) for _ in range(4)] + [26, 26, 16]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+    got = np.array(ss.battery(np.concatenate(strings).astype(np.int64), first, np.array(sizes))).T
+    for row, x, k in zip(got, strings, sizes, strict=True):
+        assert np.allclose(row, plain_battery(x, k), rtol=2e-3, atol=1e-6)
+
+
+def plain_scan(texts):
+    """{(text, start, length)} reported, from regular expressions, lists and a Benjamini-Hochberg loop."""
+    bucket = lambda s: min(int(s * ss.BUCKETS), ss.BUCKETS - 1)
+    size_class = lambda n: max(i for i, c in enumerate(ss.CLASSES) if c <= n)
+    pools, found = [[] for _ in ss.CLASSES], []
+    for d, t in enumerate(texts):
+        letters = [ord(c) - 97 for c in (t or "").lower() if "a" <= c <= "z"]
+        at = i = 0
+        while at + ss.CLASSES[i] <= len(letters):
+            n = int(ss.CLASSES[i])
+            pools[i].append(bucket(plain_battery(letters[at : at + n], 26)[3]))
+            at, i = at + n, (i + 1) % len(ss.CLASSES)
+        for m in re.finditer(rf"[A-Za-z0-9+/_-]{{{ss.MIN_CHARS},}}", t or ""):
+            run = m[0]
+            for name, chars in ss.ALPHABETS:
+                body = run[1:] if name == "word" and run[0].isupper() else run
+                if all(c in chars for c in body):
+                    break
+            if name not in ("word", "upper") and len(run) * math.log2(len(chars)) >= ss.MIN_BITS:
+                found.append((d, m.start(), len(run), bucket(plain_battery([chars.index(c) for c in run], len(chars))[3])))
+    p = []
+    for _, _, n, b in found:
+        i = size_class(n)
+        pool = list(pools[i])
+        for j in range(i - 1, -1, -1):
+            if len(pool) >= ss.MIN_REFERENCE:
+                break
+            pool += pools[j]
+        assert len(pool) >= ss.MIN_REFERENCE  # the fixture needs no simulated letters
+        p.append((1 + sum(x >= b for x in pool)) / (1 + len(pool)))
+    ordinary = min(1.0, (1 + sum(x > ss.LAMBDA for x in p)) / ((1 - ss.LAMBDA) * len(p)))
+    out, least = set(), 1.0
+    for x in sorted(set(p), reverse=True):
+        least = min(least, ordinary * x * len(p) / sum(y <= x for y in p))
+        if x <= ss.LAMBDA and least <= ss.FDR:
+            out |= {f[:3] for f, y in zip(found, p, strict=True) if y == x}
+    return out
+
+
+def test_operator_against_plain_python(spark):
+    r = random.Random(5)
+    texts = [english(500, i) for i in range(150)]
+    for i in range(0, 150, 3):
+        texts[i] += " " + "".join(r.choice("0123456789abcdef") for _ in range(40)) + " end"
+        texts[i + 1] += " path/to-some_file_name/" + "".join(r.choice("abc") for _ in range(12)) + "0123 " + "x1" * 12
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(500, None), (501, "")], "doc_id long, text string")
+    got = {(x.doc_id, x.start, x.length) for x in ss.secret_spans(docs).collect()}
+    assert got == plain_scan(texts) and len(got) >= 40

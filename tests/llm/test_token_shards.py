@@ -53,3 +53,10 @@ def test_awkward_and_empty(spark):
     got = round_trip(ts.token_shards(awkward(spark)).collect())
     assert sorted(map(str, got)) == sorted(str((r[0], r[1] or "")) for r in awkward_rows())
     assert ts.token_shards(empty(spark)).count() == 0
+
+
+def test_long_runs_and_string_ids(spark):
+    texts = {"blank": " " * 1_500_000, "lines": "a" + "\n" * 300_000 + "b", "letters": "x" * 200_000, "signs": "word " + "-=" * 50_000 + " 漢" * 10 + "字" * 9000}
+    got = round_trip(ts.token_shards(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect())
+    assert dict(got) == texts
+    assert ts.encode(ts.TOKENIZER, "a plain text") == ts.tokenizer(ts.TOKENIZER).encode_ordinary("a plain text")
