@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("-f", "--file", required=True)
     v.add_argument("-t", "--type", default="slug", choices=sorted(cluster.KEYS))
     v.add_argument("--min-cluster-size", type=int, default=2)
-    v.add_argument("--max-cluster-size", type=int, default=10_000)
+    v.add_argument("--max-cluster-size", type=int, help="larger clusters are left out; all are kept unless this is given")
     v = verbs.add_parser("verify", help="verify all pairs of each cluster document")
     v.add_argument("-f", "--file", required=True)
     v.add_argument("--max-cluster-size", type=int, default=10)

@@ -25,11 +25,15 @@ def strip(x: Col) -> Column:
     return F.btrim(col(x), F.lit(SPACES))
 
 
+def bind(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def clean_doi(x: Col) -> Column:
     """Lower-case DOI from its first ``10.`` on, without a doubled slash after a 4-digit prefix; null where there is none."""
-    v = F.lower(strip(x))
-    doi = F.substring(v, F.instr(v, F.lit("10.")), F.length(v))
-    return F.when(F.instr(v, F.lit("10.")) > 0, F.when(F.substring(doi, 8, 2) == "//", F.concat(F.substring(doi, F.lit(1), F.lit(8)), F.substring(doi, F.lit(10), F.length(doi)))).otherwise(doi))
+    doi = F.regexp_extract(F.lower(strip(x)), r"(?s)10\..*", 0)
+    return F.nullif(F.regexp_replace(doi, r"(?s)^(.{7}/)/", "$1"), F.lit(""))
 
 
 def doi_prefix(x: Col) -> Column:
@@ -93,18 +97,21 @@ def has_chemical_formula(x: Col) -> Column:
 
 def parse_pages(x: Col) -> Column:
     """struct(start, end, count): a page, or a range whose end may be abbreviated to 1 or 2 digits; null if it is neither."""
-    v = F.when(F.lower(F.left(col(x), F.lit(1))).isin("p", "e"), F.substring(col(x), F.lit(2), F.length(col(x)))).otherwise(col(x))
-    a, dash = F.substring_index(v, "-", 1), F.instr(v, F.lit("-"))
-    b = F.regexp_extract(F.substring(v, dash + 1, F.length(v)), "^[0-9]+", 0)
-    short = F.length(b)
-    # The end is completed when it is above the start's last digits as a string.
-    full = F.when((short <= 2) & (F.right(a, short) < b), F.concat(F.substring(a, F.lit(1), F.greatest(F.length(a) - short, F.lit(0))), b)).otherwise(b)
-    start, end = a.try_cast("long"), full.try_cast("long")
-    none = F.lit(None).cast("long")
-    single = v.rlike("^[0-9]+$")
-    return F.when(single, F.struct(v.try_cast("long").alias("start"), none.alias("end"), none.alias("count"))).when(
-        (dash > 1) & (b != "") & a.rlike("^[0-9]+$") & (start <= end), F.struct(start.alias("start"), end.alias("end"), (end - start + 1).alias("count"))
-    )
+    page = bind(F.regexp_extract(col(x), r"^[pPeE]?([0-9]+)$", 1).try_cast("long"), lambda n: F.when(n.isNotNull(), F.struct(n.alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("long").alias("count"))))
+
+    def completed(m: Column) -> Column:
+        # The end is completed when it is above the start's last digits as a string.
+        a, b = m["a"], m["b"]
+        short = F.length(b)
+        full = F.when((short <= 2) & (F.right(a, short) < b), F.concat(F.substring(a, F.lit(1), F.greatest(F.length(a) - short, F.lit(0))), b)).otherwise(b)
+        return F.struct(a.try_cast("long").alias("start"), full.try_cast("long").alias("end"))
+
+    def counted(r: Column) -> Column:
+        return F.when(r["start"] <= r["end"], F.struct(r["start"].alias("start"), r["end"].alias("end"), (r["end"] - r["start"] + 1).alias("count")))
+
+    parts = F.split(F.regexp_extract(col(x), "^[pPeE]?([0-9]+-[0-9]+)", 1), "-")
+    pair = bind(parts, lambda p: F.struct(F.get(p, F.lit(0)).alias("a"), F.get(p, F.lit(1)).alias("b")))
+    return F.coalesce(page, bind(bind(pair, completed), counted))
 
 
 def year_of(x: Col) -> Column:

@@ -46,10 +46,15 @@ def cluster_members(records: DataFrame, key: str | Callable[[Column], Column] =
     return own.join(sizes, "k")
 
 
+def _tie(records: DataFrame) -> list[Column]:
+    """What orders records whose order column is null (first of all) or equal: a hash of the whole record, of equal ones too."""
+    return [F.xxhash64(*records.columns).alias("tie")]
+
+
 def cluster_documents(records: DataFrame, key: str | Callable[[Column], Column] = "slug", min_size: int = 1, max_size: int | None = None, order: str = "ident", denied: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """One row (k, v) per cluster, v its records in order, of any size unless ``max_size`` is given: larger ones are left out before they are gathered."""
+    """One row (k, v) per cluster, v its records in order (null first, ties by a hash of the record), of any size unless ``max_size`` is given: larger ones are left out before they are gathered."""
     members = cluster_members(records, key, min_size, max_size, denied)
-    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*records.columns).alias("r"))), lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0))
+    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), *_tie(records), F.struct(*records.columns).alias("r"))))
     return members.groupBy("k").agg(packed.alias("v")).select("k", F.transform("v", lambda x: x["r"]).alias("v"))
 
 
@@ -74,7 +79,7 @@ def pairs_within(records: DataFrame, key: str | Callable[[Column], Column] = "sl
     Clusters above ``max_size`` give none, so a key has at most max_size^2 / 2 pairs whatever the corpus.
     Features are made once per record and both sides of the join read the one shuffle by k.
     """
-    members = cluster_members(records, key, 2, max_size).withColumn("pos", F.row_number().over(W.partitionBy("k").orderBy(order)))
+    members = cluster_members(records, key, 2, max_size).withColumn("pos", F.row_number().over(W.partitionBy("k").orderBy(order, *_tie(records))))
     own = members.select("k", "pos", feature_struct(**options).alias("f"))
     a, b = own.select("k", F.col("pos").alias("pa"), F.col("f").alias("a")), own.select("k", F.col("pos").alias("pb"), F.col("f").alias("b"))
     return a.join(b, "k").where("pa < pb").select("k", "a", "b")
@@ -99,11 +104,11 @@ def reason_counts(verified: DataFrame) -> DataFrame:
     return verified.rollup("status", "reason").agg(F.count("*").alias("pairs"), F.grouping_id().alias("g")).where("g in (0, 3)").drop("g")
 
 
-def _counters(sizes: DataFrame, met: DataFrame, verified: DataFrame, max_size: int) -> DataFrame:
+def _counters(sizes: DataFrame, met: DataFrame, verified: DataFrame, max_size: int, containers: tuple[str, ...] = lists.CONTAINERS, publishers: tuple[str, ...] = lists.PUBLISHERS) -> DataFrame:
     """Rows (counter, n) from the sizes n of all clusters, the records met in pairs (size, r), and the verified pairs."""
     counted = sizes.select(F.explode(F.array_compact(F.array(F.when(F.col("n") < 2, "singular_cluster"), F.when(F.col("n") > max_size, "max_cluster_size_exceeded")))).alias("counter")).groupBy("counter").agg(F.count("*").alias("n"))
-    container = F.lower(F.trim(F.coalesce("r.extra.container_name", F.lit("")))).isin(list(lists.CONTAINERS))
-    publisher = F.lower(F.trim(F.coalesce("r.publisher", F.lit("")))).isin(list(lists.PUBLISHERS))
+    container = F.lower(F.trim(F.coalesce("r.extra.container_name", F.lit("")))).isin(list(containers))
+    publisher = F.lower(F.trim(F.coalesce("r.publisher", F.lit("")))).isin(list(publishers))
     # A record is met once in each pair of its cluster.
     blocked = met.select(F.when(container, "container_name_blacklist").when(publisher, "publisher_blacklist").alias("counter"), (F.col("size") - 1).alias("m")).where("counter is not null").groupBy("counter").agg(F.sum("m").alias("n"))
     reasons = verified.groupBy(F.col("reason").alias("counter")).agg(F.count("*").alias("n"))
@@ -111,10 +116,10 @@ def _counters(sizes: DataFrame, met: DataFrame, verified: DataFrame, max_size: i
     return every.unionByName(every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("total").alias("counter"), "n"))
 
 
-def group_counters(clusters: DataFrame, verified: DataFrame, max_size: int = 10) -> DataFrame:
+def group_counters(clusters: DataFrame, verified: DataFrame, max_size: int = 10, **blocked: tuple[str, ...]) -> DataFrame:
     """Rows (counter, n): pairs by reason, clusters that were too small or too large, blocked records met in pairs, and the total of all."""
     met = clusters.where(F.size("v").between(2, max_size)).select(F.size("v").alias("size"), F.explode("v").alias("r"))
-    return _counters(clusters.select(F.size("v").alias("n")), met, verified, max_size)
+    return _counters(clusters.select(F.size("v").alias("n")), met, verified, max_size, **blocked)
 
 
 def record_counters(records: DataFrame, key: str | Callable[[Column], Column] = "slug", max_size: int = 10, rules: list[Rule] | None = None, **options) -> DataFrame:
@@ -124,6 +129,6 @@ def record_counters(records: DataFrame, key: str | Callable[[Column], Column] =
     return _counters(sizes, met, verify_pairs(pairs_within(records, key, max_size, **options).select("a", "b"), rules), max_size)
 
 
-def without_blocked(records: DataFrame) -> DataFrame:
+def without_blocked(records: DataFrame, containers: tuple[str, ...] = lists.CONTAINERS, publishers: tuple[str, ...] = lists.PUBLISHERS) -> DataFrame:
     """Records whose container or publisher isn't on the block lists (counting only is the default elsewhere)."""
-    return records.where(~F.lower(F.trim(F.coalesce("extra.container_name", F.lit("")))).isin(list(lists.CONTAINERS)) & ~F.lower(F.trim(F.coalesce("publisher", F.lit("")))).isin(list(lists.PUBLISHERS)))
+    return records.where(~F.lower(F.trim(F.coalesce("extra.container_name", F.lit("")))).isin(list(containers)) & ~F.lower(F.trim(F.coalesce("publisher", F.lit("")))).isin(list(publishers)))

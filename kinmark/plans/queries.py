@@ -155,9 +155,9 @@ def nysiis_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Clusters
 
 
-@query(VIEW + " SELECT slug AS k, count(*) AS n, array_to_string(list(ident ORDER BY ident), ',') AS idents FROM records WHERE slug <> '' GROUP BY slug HAVING count(*) BETWEEN 2 AND 10000")
+@query(VIEW + " SELECT slug AS k, count(*) AS n, array_to_string(list(ident ORDER BY ident), ',') AS idents FROM records WHERE slug <> '' GROUP BY slug HAVING count(*) >= 2")
 def cluster_by_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cluster.cluster_documents(records(spark, sf_dir), "slug", min_size=2, max_size=10_000)  # the bound of its SQL
+    docs = cluster.cluster_documents(records(spark, sf_dir), "slug", min_size=2)
     return docs.select("k", F.size("v").cast("long").alias("n"), F.array_join(F.transform("v", lambda r: r["ident"]), ",").alias("idents"))
 
 
@@ -403,3 +403,6 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir).withColumn("ident", F.col("ident").cast("string"))
     back = r.select(io.from_json_column(io.to_json_column(*r.columns)).alias("r"))
     return back.select(F.col("r.ident").cast("long").alias("ident"), F.length("r.title").cast("long").alias("chars"), F.size("r.contribs").cast("long").alias("authors"))
+
+
+from . import rule_queries  # noqa: E402, F401 - registers its own
