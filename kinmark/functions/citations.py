@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, Struc
 from . import scalars as s
 from .scalars import Col, col
 
-TEI_URI, XML_URI = "http://www.tei-c.org" + "/ns/1.0", "http://www.w3.org" + "/XML/1998/namespace"
+TEI_URI, XML_URI = "http://www.tei-c.org/ns/1.0", "http://www.w3.org/XML/1998/namespace"
 TEI, XML = "{" + TEI_URI + "}", "{" + XML_URI + "}"
 
 

@@ -4,7 +4,9 @@ The text index is two tables: ``postings`` (field, term, ident, tf) and ``length
 Query terms meet index terms through deletion keys: two terms within k edits share a key made by
 deleting at most k characters, so the fuzzy join is an equi-join over distinct terms,
 checked afterwards by the edit distance (a swap of neighbours counts as one edit). Terms
-of 1-2 characters match exactly, of 3-5 with one edit, and longer ones with two.
+of 1-2 characters match exactly, of 3-5 with one edit, and longer ones with two. Index terms above ``LONG``
+characters have too many deletions: two edits, even swaps, leave one of their five segments untouched and at most two
+places off, so they are met by segments instead, which are as many for a term of any length.
 
 Levels are tried in order, and a query stops at the first that gives it anything: lookup; title and
 authors; title or authors; all title terms exactly; all title terms fuzzily.
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..schema import ID_TYPES
+from ..sources.working import written
 
 ALL = 10_000
 K1, B = 1.2, 0.75
+LONG, SEGMENTS = 24, 5
 
 
 # ---- Identifiers
@@ -88,6 +92,37 @@ def within_edits(a: Column, b: Column, k: Column) -> Column:
     return (a == b) | ((k >= 1) & ((near == 1) | ((near == 2) & F.array_contains(swaps(a), b)))) | ((k >= 2) & ((near >= 0) | two | double))
 
 
+def _segment(length: Column, j: Column) -> tuple[Column, Column]:
+    """First place (from 1) and size of a term's j-th segment."""
+    a, b = F.floor(j * length / SEGMENTS), F.floor((j + 1) * length / SEGMENTS)
+    return (a + 1).cast("int"), (b - a).cast("int")
+
+
+def segment_keys(term: Column) -> Column:
+    """Length, number and text of each segment of an index term."""
+
+    def one(j: Column) -> Column:
+        at, size = _segment(F.length(term), j)
+        return F.concat_ws(":", F.lit("#"), F.length(term), j, F.substring(term, at, size))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), one)
+
+
+def segment_probes(term: Column) -> Column:
+    """What the segments of long index terms within two edits of a query term can be: for each length and segment, pieces at most two places off."""
+
+    def of_length(n: Column) -> Column:
+        def one(j: Column) -> Column:
+            at, size = _segment(n, j)
+            pieces = F.transform(F.filter(F.sequence(F.lit(-2), F.lit(2)), lambda off: at + off >= 1), lambda off: F.substring(term, at + off, size))
+            return F.transform(pieces, lambda x: F.concat_ws(":", F.lit("#"), n, j, x))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), one))
+
+    near = F.sequence(F.greatest(F.length(term) - 2, F.lit(LONG + 1)), F.length(term) + 2)
+    return F.when(F.length(term) >= LONG - 1, F.array_distinct(F.flatten(F.transform(near, of_length)))).otherwise(F.array().cast("array<string>"))
+
+
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Rows (field, qterm, term) of query terms and the index terms within their edits.
 
@@ -95,8 +130,8 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     two deletions only if they are long enough for a query term with two edits to reach them.
     """
     q = terms.select("field", "qterm", edits_allowed(F.col("qterm")).alias("k"))
-    keys = F.when(F.col("k") == 0, F.array("qterm")).when(F.col("k") == 1, deletions(F.col("qterm"), 1)).otherwise(deletions(F.col("qterm"), 2))
-    v = vocabulary.select("field", "term", F.explode(F.when(F.length("term") >= 4, deletions(F.col("term"), 2)).when(F.length("term") >= 2, deletions(F.col("term"), 1)).otherwise(F.array("term"))).alias("key"))
+    keys = F.when(F.col("k") == 0, F.array("qterm")).when(F.col("k") == 1, deletions(F.col("qterm"), 1)).otherwise(F.concat(F.when(F.length("qterm") <= LONG + 2, deletions(F.col("qterm"), 2)).otherwise(F.array().cast("array<string>")), segment_probes(F.col("qterm"))))
+    v = vocabulary.select("field", "term", F.explode(F.when(F.length("term") > LONG, segment_keys(F.col("term"))).when(F.length("term") >= 4, deletions(F.col("term"), 2)).when(F.length("term") >= 2, deletions(F.col("term"), 1)).otherwise(F.array("term"))).alias("key"))
     met = q.withColumn("key", F.explode(keys)).join(v, ["field", "key"]).select("field", "qterm", "term", "k").distinct()
     return met.where(within_edits(F.col("qterm"), F.col("term"), F.col("k"))).select("field", "qterm", "term")
 
@@ -112,14 +147,14 @@ def field_matches(queries: DataFrame, postings: DataFrame, lengths: DataFrame, f
         near = fuzzy_terms(queries.select("field", "qterm").distinct(), postings.select("field", "term").distinct())
     else:
         near = queries.select("field", "qterm", F.col("qterm").alias("term")).distinct()
-    near = near.join(postings.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"])
+    near = written(near.join(postings.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"]), "near")
     # A query that lacks a term everywhere is out; of the others only the documents of the rarest term are candidates,
     # so a frequent term's postings are never joined with all queries that have it.
     reach = near.groupBy("field", "qterm").agg(F.sum("df").alias("reach"))
     each = W.partitionBy("query", "field")
     live = queries.join(reach, ["field", "qterm"]).withColumn("have", F.count("*").over(each)).join(wanted, ["query", "field"]).where("have = wanted")
     ranked = live.withColumn("turn", F.row_number().over(each.orderBy("reach", "qterm"))).select("query", "field", "qterm", "wanted", "turn")
-    asked = ranked.join(near, ["field", "qterm"])
+    asked = written(ranked.join(near, ["field", "qterm"]), "asked")
     candidates = asked.where("turn = 1").join(postings.select("field", "term", "ident"), ["field", "term"]).select("query", "field", "ident").distinct()
     found = candidates.join(postings, ["field", "ident"]).join(asked.select("query", "field", "term", "qterm", "df", "wanted"), ["query", "field", "term"])
     total = lengths.groupBy("field").agg(F.count("*").alias("docs"), (F.sum("len") / F.count("*")).alias("mean"))
@@ -142,19 +177,21 @@ def match_releases(queries: DataFrame, catalog: DataFrame, size: int | None = 5)
 
     level: 0 lookup, 1 title and authors, 2 title or authors, 3 exact title terms, 4 fuzzy title terms. Queries
     without a title or contributors skip levels 1 and 2. Of equal scores the smaller ident comes first.
-    Every text level is computed from one fuzzy and one exact join; a query keeps its first level.
+    The index is written once and read by every level; a level works only on the queries that earlier ones left.
     """
-    postings, lengths = text_index(catalog)
-    looked = match_by_identifier(queries, catalog).select("query", "ident", F.lit(0).alias("level"), F.lit(0.0).alias("score"))
+    postings, lengths = (written(x, "index") for x in text_index(catalog))
+    looked = written(match_by_identifier(queries, catalog).select("query", "ident", F.lit(0).alias("level"), F.lit(0.0).alias("score")), "looked")
     open_ = queries.join(looked.select(F.col("query").alias("ident")), "ident", "left_anti")
-    terms = query_terms(open_)
+    terms = written(query_terms(open_), "terms")
     both = open_.where("title is not null and contribs is not null").select(F.col("ident").alias("query"))
-    fuzzy = field_matches(terms, postings, lengths, True)
-    exact = field_matches(terms.where("field = 'title'"), postings, lengths, False)
-    either = fuzzy.join(both, "query").groupBy("query", "ident").agg(F.count("*").alias("fields"), F.sum("score").alias("score"))
-    one_two = either.select("query", "ident", F.when(F.col("fields") == 2, 1).otherwise(2).alias("level"), "score")
+    fuzzy = written(field_matches(terms.join(both, "query", "left_semi"), postings, lengths, True), "fields")
+    either = fuzzy.groupBy("query", "ident").agg(F.count("*").alias("fields"), F.sum("score").alias("score"))
     # Level 2 is the union of both fields, so what level 1 found belongs to it too; level 1 is tried first.
-    levels = [looked, one_two, exact.select("query", "ident", F.lit(3).alias("level"), "score"), fuzzy.where("field = 'title'").select("query", "ident", F.lit(4).alias("level"), "score")]
+    one_two = either.select("query", "ident", F.when(F.col("fields") == 2, 1).otherwise(2).alias("level"), "score")
+    left = terms.where("field = 'title'").join(fuzzy.select("query"), "query", "left_anti")
+    exact = written(field_matches(left, postings, lengths, False), "exact")
+    last = field_matches(left.join(exact.select("query"), "query", "left_anti"), postings, lengths, True)
+    levels = [looked, one_two, exact.select("query", "ident", F.lit(3).alias("level"), "score"), last.select("query", "ident", F.lit(4).alias("level"), "score")]
     every = reduce(DataFrame.unionByName, levels)
     first = F.min("level").over(W.partitionBy("query"))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.round("score", 6).desc(), "ident"))

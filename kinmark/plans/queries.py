@@ -77,11 +77,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_records(docs, i, doi, F.col("title"), F.filter(F.slice(F.split(after, " ", 4), 1, 3), lambda x: x != ""), 1980 + i % 45, kind, F.col("source"))
 
 
+#: Authors of every second passage: words of its text; the others have none.
+_PASSAGE_NAMES = "IF(item_id % 2 = 0, filter(slice(split(text, '[ \\n]'), 1, 2), x -> x <> ''), CAST(array() AS array<string>))"
+_PASSAGES_SQL = "passages AS (SELECT item_id AS ident, split_part(text, chr(10), 1) AS title, CASE WHEN item_id % 2 = 0 THEN list_filter(regexp_split_to_array(text, '[ \\n]')[1:2], lambda x: x <> '') ELSE [] END AS names, CAST(NULL AS VARCHAR) AS container_id, CAST(NULL AS INTEGER) AS release_year, CAST(NULL AS VARCHAR) AS doi, CAST(NULL AS VARCHAR) AS release_type, " + SLUG_SQL.format(x="split_part(text, chr(10), 1)") + " AS slug FROM benchmark)"
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as records: the first line is the title."""
-    rows = table(spark, sf_dir, "benchmark")
+    """Benchmark passages as records: the first line is the title, and of every second the first two words are authors."""
+    rows = table(spark, sf_dir, "benchmark").withColumn("title", F.substring_index("text", "\n", 1))
     none = F.lit(None).cast("string")
-    return as_records(rows, F.col("item_id"), none, F.substring_index("text", "\n", 1), F.array().cast("array<string>"), F.lit(None), none, none)
+    return as_records(rows, F.col("item_id"), none, F.col("title"), F.expr(_PASSAGE_NAMES), F.lit(None), none, none)
 
 
 # ---- Scalar functions, each over a whole table: name -> (table, key, Spark expression, SQL)
@@ -295,7 +300,7 @@ SELECT query, ident, round(score, 6) AS score FROM hits JOIN (SELECT query, coun
 
 def _field_query(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
     postings, lengths = match.text_index(records(spark, sf_dir))
-    return match.field_matches(match.query_terms(passages(spark, sf_dir)), postings, lengths, fuzzy).select("query", "ident", F.round("score", 6).alias("score"))
+    return match.field_matches(match.query_terms(passages(spark, sf_dir)).where("field = 'title'"), postings, lengths, fuzzy).select("query", "ident", F.round("score", 6).alias("score"))
 
 
 @query(_field_sql(False))
@@ -315,13 +320,42 @@ def title_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.fuzzy_terms(words(table(spark, sf_dir, "part"), F.col("p_name"), "qterm"), words(table(spark, sf_dir, "documents"), _title(), "term"))
 
 
-@query()
+def _cascade_sql() -> str:
+    """Levels 1 to 4 for passages against the records view."""
+    fields = lambda source, name: f"SELECT ident AS {name}, 'title' AS field, {TERMS_SQL.format(x='title')} AS terms FROM {source} UNION ALL SELECT ident, 'names', {TERMS_SQL.format(x=chr(97) + 'rray_to_string(names, chr(32))')} FROM {source}"
+    edits = f"damerau_levenshtein({ONE_BYTE.format(x='q.term')}, {ONE_BYTE.format(x='v.term')}) <= CASE WHEN length(q.term) <= 2 THEN 0 WHEN length(q.term) <= 5 THEN 1 ELSE 2 END"
+    hits = lambda n, near: f"""near{n} AS (SELECT q.field, q.term AS qterm, v.term, v.df FROM (SELECT DISTINCT field, term FROM wanted) q JOIN vocabulary v ON q.field = v.field AND {near}),
+weights{n} AS (SELECT field, qterm, ident, max(round(ln(1 + (d - df + 0.5) / (df + 0.5)) * tf * {match.K1 + 1} / (tf + {match.K1} * ({1 - match.B} + {match.B} * len / mean)), 9)) AS w
+  FROM near{n} JOIN postings USING (field, term) JOIN lengths USING (field, ident) JOIN totals USING (field) GROUP BY field, qterm, ident),
+hits{n} AS (SELECT query, field, ident, sum(w) AS score FROM wanted JOIN weights{n} ON wanted.field = weights{n}.field AND wanted.term = weights{n}.qterm JOIN asked USING (query, field) GROUP BY query, field, ident, n HAVING count(*) = n)"""
+    hits = lambda n, near, hits=hits: hits(n, near).replace("SELECT query, field, ident, sum(w)", "SELECT query, wanted.field AS field, ident, sum(w)").replace("JOIN asked USING (query, field) GROUP BY query, field, ident, n", "JOIN asked ON asked.q = wanted.query AND asked.f = wanted.field GROUP BY query, wanted.field, ident, n")
+    return f"""{VIEW}, {_PASSAGES_SQL},
+fields AS ({fields('records', 'ident')}),
+postings AS (SELECT field, ident, term, count(*) AS tf FROM (SELECT field, ident, unnest(terms) AS term FROM fields) GROUP BY field, ident, term),
+lengths AS (SELECT field, ident, len(terms) AS len FROM fields WHERE len(terms) > 0),
+totals AS (SELECT field, count(*) AS d, sum(len) / count(*) AS mean FROM lengths GROUP BY field),
+vocabulary AS (SELECT field, term, count(*) AS df FROM postings GROUP BY field, term),
+wanted AS (SELECT query, field, unnest(list_distinct(terms)) AS term FROM ({fields('passages', 'query')})),
+asked AS (SELECT query AS q, field AS f, count(*) AS n FROM wanted GROUP BY query, field),
+{hits('f', edits)},
+{hits('e', 'q.term = v.term')},
+levels AS (
+  SELECT query, ident, CASE count(*) WHEN 2 THEN 1 ELSE 2 END AS level, sum(score) AS score FROM hitsf GROUP BY query, ident
+  UNION ALL SELECT query, ident, 3, score FROM hitse WHERE field = 'title' UNION ALL SELECT query, ident, 4, score FROM hitsf WHERE field = 'title'),
+ranked AS (SELECT query, ident, level, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, ident) AS rank
+  FROM (SELECT *, min(level) OVER (PARTITION BY query) AS first FROM levels) WHERE level = first),
+found AS (SELECT query, ident, CAST(level AS INTEGER) AS level, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5)"""
+
+
+@query(_cascade_sql() + " SELECT * FROM found")
 def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages against documents through all levels."""
     return match.match_releases(passages(spark, sf_dir), records(spark, sf_dir))
 
 
-@query()
+@query(_cascade_sql() + ", pairs AS (SELECT query, found.ident AS ident, rank, a, b FROM found JOIN passages a ON a.ident = query JOIN records b ON b.ident = found.ident)" + verdict_sql("pairs") + """,
+placed AS (SELECT query, ident, status, reason, row_number() OVER (PARTITION BY query ORDER BY CASE status WHEN 'exact' THEN 10 WHEN 'strong' THEN 20 WHEN 'weak' THEN 30 ELSE 40 END, rank) AS place FROM judged WHERE status <> 'different')
+SELECT query, ident, status, reason, CAST(place AS INTEGER) AS place FROM placed""")
 def closest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closest.close_matches(passages(spark, sf_dir), records(spark, sf_dir))
 

@@ -160,3 +160,32 @@ def test_resolve_strings(spark):
     assert got == {a: ("release", a), "https://x.org/release/" + a: ("release", a), b: ("release", None), "1234567x": ("container", "c1"), "1111-2222": ("container", "c2"), "Q5": ("wikidata", a), "Some title": ("title", None)}
     assert match.retrieve(spark.createDataFrame([(a,), (b,)], "ident string"), releases).count() == 1
     assert match.sample_pair(releases).count() == 1
+
+
+def test_long_terms_meet_by_segments(spark):
+    """Terms around and far above the bound, with one or two edits anywhere, swaps at the segments' ends among them."""
+    import random
+
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    pairs = []
+    for n in [*range(21, 31)] * 12 + [60, 200, 2000]:
+        a = b = word(n)
+        for _ in range(r.randint(0, 2)):
+            i = r.randrange(len(b) - 1)
+            b = r.choice([b[:i] + b[i + 1 :], b[:i] + "x" + b[i:], b[:i] + "y" + b[i + 1 :], b[:i] + b[i + 1] + b[i] + b[i + 2 :]])
+        pairs.append((a, b))
+    pairs.append(("z" * 30, "z" * 33))
+    q = spark.createDataFrame([("title", b) for _, b in pairs], "field string, qterm string").distinct()
+    v = spark.createDataFrame([("title", a) for a, _ in pairs], "field string, term string").distinct()
+    got = {(x.term, x.qterm) for x in match.fuzzy_terms(q, v).collect()}
+    assert got >= set(pairs[:-1]) and ("z" * 30, "z" * 33) not in got
+
+
+def test_clusters_without_idents_and_of_any_size(spark):
+    rows = [(None if i % 3 == 0 else f"{i % 50:03}", "one title", f"w{i}") for i in range(12_001)]
+    records = spark.createDataFrame(rows, "ident string, title string, work_id string")
+    one = cluster.cluster_documents(records).select(F.size("v").alias("n"), F.transform("v", lambda r: r["ident"]).alias("ids")).first()
+    assert one.n == 12_001 and one.ids == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
+    first, again = (cluster.cluster_documents(records.repartition(n)).select("v").first().v for n in (1, 7))
+    assert first == again
