@@ -122,11 +122,11 @@ def group_counters(clusters: DataFrame, verified: DataFrame, max_size: int = 10,
     return _counters(clusters.select(F.size("v").alias("n")), met, verified, max_size, **blocked)
 
 
-def record_counters(records: DataFrame, key: str | Callable[[Column], Column] = "slug", max_size: int = 10, rules: list[Rule] | None = None, **options) -> DataFrame:
+def record_counters(records: DataFrame, key: str | Callable[[Column], Column] = "slug", max_size: int = 10, rules: list[Rule] | None = None, containers: tuple[str, ...] = lists.CONTAINERS, publishers: tuple[str, ...] = lists.PUBLISHERS, **options) -> DataFrame:
     """The same from records: clusters of every size are counted from the size aggregate, and none is gathered in one row."""
     sizes = keyed(records, key).where(usable()).groupBy("k").agg(F.count("*").alias("n"))
     met = cluster_members(records, key, 2, max_size).select(F.col("n").alias("size"), F.struct("publisher", "extra").alias("r"))
-    return _counters(sizes, met, verify_pairs(pairs_within(records, key, max_size, **options).select("a", "b"), rules), max_size)
+    return _counters(sizes, met, verify_pairs(pairs_within(records, key, max_size, **options).select("a", "b"), rules), max_size, containers, publishers)
 
 
 def without_blocked(records: DataFrame, containers: tuple[str, ...] = lists.CONTAINERS, publishers: tuple[str, ...] = lists.PUBLISHERS) -> DataFrame:

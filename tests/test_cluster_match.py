@@ -40,9 +40,10 @@ def test_every_key(spark, key):
 def test_group_counters(spark):
     rows = [rec("1", "one title here"), rec("2", "one title here") | {"publisher": " Test Accounts"}, rec("3", "one title here") | {"extra": {"container_name": "Crossref Listing of Deleted DOIs"}}, rec("4", "alone here")]
     docs = cluster.cluster_documents(records(spark, rows))
-    got = {r.counter: r.n for r in cluster.group_counters(docs, cluster.verify_clusters(docs)).collect()}
+    blocked = {"containers": ("crossref listing of deleted dois",), "publishers": ("test accounts",)}
+    got = {r.counter: r.n for r in cluster.group_counters(docs, cluster.verify_clusters(docs), **blocked).collect()}
     assert got == {"singular_cluster": 1, "publisher_blacklist": 2, "container_name_blacklist": 2, "unknown": 3, "total": 8}
-    assert cluster.without_blocked(records(spark, rows)).count() == 2
+    assert cluster.without_blocked(records(spark, rows), **blocked).count() == 2
     counts = cluster.reason_counts(verify_pairs(cluster.pairs_within(records(spark, rows)).select("a", "b")))
     assert {tuple(r) for r in counts.collect()} == {("ambiguous", "unknown", 3), (None, None, 3)}
 
@@ -67,9 +68,9 @@ def test_counters_by_key(spark):
     rows = [rec(f"{i:02}", "a group of eleven") for i in range(11)] + [rec("a", "one title here"), rec("b", "one title here") | {"publisher": "test accounts"}, rec("c", "alone here")]
     r = records(spark, rows)
     docs = cluster.cluster_documents(r)
-    got = {x.counter: x.n for x in cluster.record_counters(r).collect()}
+    got = {x.counter: x.n for x in cluster.record_counters(r, publishers=("test accounts",)).collect()}
     assert got == {"max_cluster_size_exceeded": 1, "singular_cluster": 1, "publisher_blacklist": 1, "unknown": 1, "total": 4}
-    assert got == {x.counter: x.n for x in cluster.group_counters(docs, cluster.verify_clusters(docs)).collect()}
+    assert got == {x.counter: x.n for x in cluster.group_counters(docs, cluster.verify_clusters(docs), publishers=("test accounts",)).collect()}
 
 
 def test_groups_above_ten_thousand(spark, tmp_path):
