@@ -159,10 +159,6 @@ def near_duplicates(
     posted: DataFrame | None = postings
     every: list[DataFrame] = []
     tested: DataFrame | None = None
-    if whole:
-        involved = nodes.join(postings.select("node").distinct(), "node", "left_semi")
-        texts = scratch.write(source.select("rk", "rk2", "text").join(involved.select("rk", "rk2", "node"), ["rk", "rk2"]).dropDuplicates(["node"]).select("node", "text"))
-        sketches = scratch.write(involved.select("node", "sk"))
 
     steps: list[DataFrame] = []
 
@@ -194,6 +190,12 @@ def near_duplicates(
             pairs = x.join(y, "v").where("a < b and ca <> cb").select("a", "b").distinct()
         else:
             labelled = scratch.write(labelled)
+            if texts is None:
+                # Only nodes that meet another in a list can be in a pair, now or in a later turn. A node has one (rk, rk2), so
+                # repeated rows go where the join has put them, without another shuffle of texts.
+                involved = nodes.join(labelled.select("node").distinct(), "node", "left_semi")
+                texts = scratch.write(source.select("rk", "rk2", "text").join(involved.select("rk", "rk2", "node"), ["rk", "rk2"]).dropDuplicates(["rk", "rk2"]).select("node", "text"))
+                sketches = scratch.write(involved.select("node", "sk"))
             lead = labelled.groupBy("v").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("lead"))
             led = scratch.write(labelled.join(lead, "v").select("v", "node", "comp", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("lc")))
             scratch.drop(labelled)
