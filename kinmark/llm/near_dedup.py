@@ -5,11 +5,14 @@
 2. Inverted lists hold, per retained hash, the nodes that retain it. Values
    kept by a single node are dropped; of the rest each node keeps a prefix, rarest
    first, long enough that two nodes whose sketches overlap enough must meet in
-   a list (prefix filtering, so no list is capped or cut).
+   a list (prefix filtering, so no list is capped or cut). A node of at most k shingles is *whole* in its sketch.
+   Two whole nodes have lists of their own, where the smaller one needs a shorter prefix: short texts
+   that share a line don't meet unless it is most of the smaller one.
 3. The pairs of a list are tried leader by leader: a pair is tried only while its
-   two nodes are in different groups. What is left after the leaders is tried
-   pair by pair.
-4. A pair passes if the similarity estimated on the k smallest values of the
+   two nodes are in different groups. Once few pairs are left, or leaders no longer make them fewer, the rest is tried
+   pair by pair, in slices if it is much.
+4. Two whole nodes pass if the Jaccard similarity of their sketches, which is exact, reaches the threshold. Any other pair
+   passes if the similarity estimated on the k smallest values of the
    united sketches is near the threshold and the exact Jaccard similarity of the
    full shingle sets reaches it. Groups are the connected components.
 
@@ -33,19 +36,28 @@ from . import textvec as tv
 from .shared import Scratch, free_name, row_key, second_key
 
 K, WIDTH, THRESHOLD, DEVIATIONS = 64, 3, 0.5, 3.0
-#: Leaders are elected until the pairs left are at most so many times the postings.
+#: Leaders are elected until the pairs left are at most so many times the postings; a slice of pairs has about as many at most.
 PAIRS_PER_POSTING = 4
-
-
-def sketch_sets(text: pa.Array, k: int, width: int) -> tuple[list[int | None], list[int | None], list[np.ndarray]]:
-    """The two halves of a fingerprint of each text's shingle set (None: no words) and its k smallest hashes."""
+#: Leaders are given up in a turn that finds more than this share of the pairs of the turn before.
+LEFT_BY_LEADERS = 0.75
+#: Lists of two whole nodes, of two others, and of one of each.
+WHOLE, PARTS, MIXED = 0, 1, 2
+#: A posting meets those of its list on either side, or only those on the other one; two on one such side make no pair.
+EITHER, FIRST, SECOND = 0, 1, 2
+#: Against rounding, where a product is compared with a count.
+TINY = 1e-9
+
+
+def sketch_sets(text: pa.Array, k: int, width: int) -> tuple[list[int | None], list[int | None], list[int], list[np.ndarray]]:
+    """The two halves of a fingerprint of each text's shingle set (None: no words), its size and its k smallest hashes."""
     h, off = tv.shingles(text, width)
     h = (h >> np.uint64(1)).astype(np.int64)
-    one, two, kept = [], [], []
+    one, two, size, kept = [], [], [], []
     for a, b in zip(off[:-1], off[1:], strict=True):
         if a == b:
             one.append(None)
             two.append(None)
+            size.append(0)
             kept.append(h[a:b])
             continue
         own = np.unique(h[a:b])
@@ -53,19 +65,20 @@ def sketch_sets(text: pa.Array, k: int, width: int) -> tuple[list[int | None], l
         for half, values in ((one, mixed), (two, tv.mix64(mixed ^ np.uint64(0x5851F42D4C957F2D)))):
             total = np.add.reduce(values, keepdims=True) + np.uint64(len(own))
             half.append(int(tv.mix64(total).astype(np.int64)[0]))
+        size.append(len(own))
         kept.append(own[:k])
-    return one, two, kept
+    return one, two, size, kept
 
 
 def _sketches(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.chunks(batch, "text"):
-                one, two, kept = sketch_sets(part["text"], k, width)
+                one, two, size, kept = sketch_sets(part["text"], k, width)
                 flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 off = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
                 sk = pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part["rk"], part["rk2"], part["id"], pa.array(one, pa.int64()), pa.array(two, pa.int64()), sk], ["rk", "rk2", "id", "f1", "f2", "sk"])
+                yield pa.RecordBatch.from_arrays([part["rk"], part["rk2"], part["id"], pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int32()), sk], ["rk", "rk2", "id", "f1", "f2", "size", "sk"])
 
     return run
 
@@ -125,6 +138,37 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+#: Columns that make a list, and twice the pairs that its postings make (half of those of two on EITHER side count too often, in any part of a list alike).
+LIST = ["kind", "v"]
+MEETINGS = "n0 * n0 + 2 * n0 * (n1 + n2) + 2 * n1 * n2"
+
+
+def _postings(nodes: DataFrame, k: int, threshold: float, floor: float) -> DataFrame:
+    """Inverted lists: rows (kind, v, side, node), the prefix of each node, rarest first.
+
+    A prefix of all but ``need - 1`` shared values holds the rarest value that a node has in common with another, if
+    they have ``need`` in common. Of two whole nodes in a pair the larger has ``threshold`` of its shingles
+    in common, the smaller 2 t / (1 + t): only pairs with a posting of the latter kind are tried. Any other pair has ``floor``
+    of the k smallest values of both in common; one of a whole node and another is of sizes within ``threshold`` of each other.
+    """
+    seen = nodes.select("node", "size", F.explode("sk").alias("v"))
+    shared = nodes.select(F.explode("sk").alias("v")).groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = seen.join(shared, "v").withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy("df", "v"))).withColumn("cnt", F.count("*").over(W.partitionBy("node")))
+    # How many shared values there are from this one on.
+    rest = F.col("cnt") - F.col("rank") + 1
+    complete = F.col("size") <= k
+    part = rest >= math.ceil(floor * k - TINY)
+    smaller = rest >= F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("size") - TINY)
+    larger = rest >= F.ceil(F.lit(threshold) * F.col("size") - TINY)
+    place = lambda kind, side: F.struct(F.lit(kind).cast("byte").alias("kind"), F.lit(side).cast("byte").alias("side"))
+    places = F.array(
+        F.when(complete & smaller, place(WHOLE, EITHER)).when(complete & larger, place(WHOLE, SECOND)),
+        F.when(~complete & part, place(PARTS, EITHER)),
+        F.when(complete & part & (F.col("size") >= threshold * (k + 1) - TINY), place(MIXED, FIRST)).when(~complete & part & (F.col("size") <= k / threshold + TINY), place(MIXED, SECOND)),
+    )
+    return ranked.select("v", "node", F.explode(F.array_compact(places)).alias("at")).select("at.kind", "v", "at.side", "node")
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = K, width: int = WIDTH, threshold: float = THRESHOLD, deviations: float = DEVIATIONS
 ) -> tuple[DataFrame, Scratch]:
@@ -140,17 +184,12 @@ def near_duplicates(
     scratch = Scratch(spark, "near")
     id_type = docs.schema[id_column].dataType.simpleString()
     source = docs.select(row_key(id_column, text_column).alias("rk"), second_key(id_column, text_column).alias("rk2"), F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = scratch.write(source.mapInArrow(_sketches(k, width), f"rk long, rk2 long, id {id_type}, f1 long, f2 long, sk array<long>"))
-    one = rows.where("f1 is not null").groupBy("f1", "f2").agg(F.min(F.struct("rk", "rk2")).alias("r"), F.count("*").alias("copies"), F.first("sk").alias("sk"))
-    nodes = scratch.write(one.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "r.rk", "r.rk2", "copies", "sk"))
+    rows = scratch.write(source.mapInArrow(_sketches(k, width), f"rk long, rk2 long, id {id_type}, f1 long, f2 long, size int, sk array<long>"))
+    one = rows.where("f1 is not null").groupBy("f1", "f2").agg(F.min(F.struct("rk", "rk2")).alias("r"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sk").alias("sk"))
+    nodes = scratch.write(one.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "r.rk", "r.rk2", "copies", "size", "sk"))
 
-    # Inverted lists: postings (v, node) of each node's prefix, rarest first.
     floor = estimate_floor(k, threshold, deviations)
-    seen = nodes.select("node", F.size("sk").alias("m"), F.explode("sk").alias("v"))
-    shared = nodes.select(F.explode("sk").alias("v")).groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    need = F.greatest(F.lit(1), F.ceil(F.lit(floor) * F.col("m")))
-    ranked = seen.join(shared, "v").withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy("df", "v"))).withColumn("cnt", F.count("*").over(W.partitionBy("node")))
-    postings = scratch.write(ranked.where(F.col("rank") <= F.col("cnt") - need + 1).select("v", "node"))
+    postings = scratch.write(_postings(nodes, k, threshold, floor))
     whole = postings.count()
 
     comps: DataFrame | None = None
@@ -163,60 +202,80 @@ def near_duplicates(
     steps: list[DataFrame] = []
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = sketches.select(F.col("node").alias("a"), F.col("sk").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sk").alias("sb"))
-        union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-        near = pairs.join(a, "a").join(b, "b").withColumn("u", union).where(F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))) >= F.lit(floor) * F.size("u")).select("a", "b")
+        a, b = (sketches.select(F.col("node").alias(x), F.col("sk").alias(f"s{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - TINY)
+        both = both.withColumn("exact", F.greatest("na", "nb") <= k).withColumn("all", F.array_union("sa", "sb")).withColumn("u", F.slice(F.array_sort("all"), 1, k)).withColumn("i", F.array_intersect("sa", "sb"))
+        near = both.where(F.when(F.col("exact"), F.size("i") / F.size("all") >= threshold).otherwise(F.size(F.array_intersect("u", "i")) >= F.lit(floor) * F.size("u"))).select("a", "b", "exact")
         near = scratch.write(near)
         steps.append(near)
+        sure = near.where("exact").select("a", "b")
+        if texts is None:
+            return sure
         ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(width, threshold), "a long, b long, jaccard double").select("a", "b").distinct()
+        held = near.where("not exact").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(width, threshold), "a long, b long, jaccard double")
+        return sure.unionByName(held.select("a", "b"))
 
-    turn = 0
-    while whole:
+    turn, slices, at, before = 0, 0, 0, None
+    while whole and at <= slices:
         turn += 1
         if comps is None:
             labelled = postings.withColumn("comp", F.col("node"))
         else:
-            labelled = postings.join(comps, "node", "left").select("v", "node", F.coalesce("comp", "node").alias("comp"))
-        per = labelled.groupBy("v", "comp").agg(F.count("*").alias("n")).groupBy("v").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q")).where("n * n > q")
-        live = per.select("v")
-        pairs_left = int(per.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0)
-        if not pairs_left:
-            break
-        last = pairs_left <= PAIRS_PER_POSTING * whole and turn > 1
-        labelled = labelled.join(live, "v", "left_semi")
-        if last:
-            x, y = labelled.select("v", F.col("node").alias("a"), F.col("comp").alias("ca")), labelled.select("v", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "v").where("a < b and ca <> cb").select("a", "b").distinct()
+            labelled = postings.join(comps, "node", "left").select(*LIST, "side", "node", F.coalesce("comp", "node").alias("comp"))
+        sides = [F.count(F.when(F.col("side") == x, 1)).alias(f"n{x}") for x in (EITHER, FIRST, SECOND)]
+        per = labelled.groupBy(*LIST, "comp").agg(*sides).groupBy(*LIST).agg(*[F.sum(f"n{x}").alias(f"n{x}") for x in (EITHER, FIRST, SECOND)], F.sum(F.expr(MEETINGS)).alias("inside"))
+        per = per.select(*LIST, (F.expr(MEETINGS) - F.col("inside")).alias("open")).where("open > 0")
+        if not slices:
+            pairs_left = int(per.agg(F.sum("open")).first()[0] or 0) // 2
+            if not pairs_left:
+                break
+            if turn > 1 and (pairs_left <= PAIRS_PER_POSTING * whole or pairs_left > LEFT_BY_LEADERS * before):
+                slices = math.ceil(pairs_left / (PAIRS_PER_POSTING * whole))
+            before = pairs_left
+        labelled = labelled.join(per.select(*LIST), LIST, "left_semi")
+        if slices:
+            at += 1
+            x, y = (labelled.select(*LIST, F.col("side").alias(f"s{x}"), F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+            if slices > 1:
+                x = x.where(F.pmod(F.xxhash64("a", F.lit("slice")), F.lit(slices)) == at - 1)
+            pairs = x.join(y, LIST).where("a < b and ca <> cb").where((F.col("sa") != F.col("sb")) | (F.col("sa") == EITHER)).select("a", "b").distinct()
         else:
             labelled = scratch.write(labelled)
-            if texts is None:
-                # Only nodes that meet another in a list can be in a pair, now or in a later turn. A node has one (rk, rk2), so
-                # repeated rows go where the join has put them, without another shuffle of texts.
-                involved = nodes.join(labelled.select("node").distinct(), "node", "left_semi")
-                texts = scratch.write(source.select("rk", "rk2", "text").join(involved.select("rk", "rk2", "node"), ["rk", "rk2"]).dropDuplicates(["rk", "rk2"]).select("node", "text"))
-                sketches = scratch.write(involved.select("node", "sk"))
-            lead = labelled.groupBy("v").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("lead"))
-            led = scratch.write(labelled.join(lead, "v").select("v", "node", "comp", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("lc")))
+            if sketches is None:
+                # Only nodes that meet another in a list can be in a pair, now or in a later turn; two whole ones need no texts. A node has
+                # one (rk, rk2), so repeated rows go where the join has put them, without another shuffle of texts.
+                sketches = scratch.write(nodes.join(labelled.select("node").distinct(), "node", "left_semi").select("node", "size", "sk"))
+                read = labelled.where(F.col("kind") != WHOLE).select("node").distinct()
+                if not read.isEmpty():
+                    involved = nodes.join(read, "node", "left_semi").select("rk", "rk2", "node")
+                    texts = scratch.write(source.select("rk", "rk2", "text").join(involved, ["rk", "rk2"]).dropDuplicates(["rk", "rk2"]).select("node", "text"))
+            lead = labelled.groupBy(*LIST).agg(F.min(F.struct("side", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("lead"))
+            led = scratch.write(labelled.join(lead, LIST).select(*LIST, "side", "node", "comp", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("lc"), F.col("lead.side").alias("ls")))
             scratch.drop(labelled)
-            pairs = led.where("comp <> lc").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+            pairs = led.where("comp <> lc").where((F.col("side") != F.col("ls")) | (F.col("side") == EITHER)).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
-        every.append(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
         found = scratch.write(verified(pairs))
         scratch.drop(*steps)
         steps.clear()
+        if at:
+            scratch.drop(pairs)  # no later slice has its pairs
+        else:
+            every.append(pairs)
+            tested = pairs if tested is None else tested.unionByName(pairs)
         # Components of the edges so far: those of the earlier ones are edges from each node to its component.
         known = found if comps is None else found.select("a", "b").unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         new = components(known, scratch)
-        scratch.drop(found, *([comps] if comps is not None else []), *([posted] if posted is not None else []))
-        comps, posted = new, None
-        if last:
-            break
+        scratch.drop(found, *([comps] if comps is not None else []))
+        comps = new
+        if at:
+            if at == slices:
+                break
+            continue
+        scratch.drop(posted)
         posted = led
-        postings = led.where("node <> leader").select("v", "node")
+        postings = led.where("node <> leader").select(*LIST, "side", "node")
 
     grouped = nodes.select("node", "copies")
     if comps is None:

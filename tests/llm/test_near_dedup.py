@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -89,3 +90,43 @@ def test_only_the_result_stays_in_the_shared_folder(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch.at)
     left = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     assert [f.getPath().getName() for f in left] == [found._kinmark_path.rsplit("/", 1)[1]]
+
+
+def test_short_texts_with_one_line_in_common_dont_go_leader_by_leader(spark):
+    """A line of 40 % of each short text makes no pair, so there are no turns, whatever the number of texts."""
+    line = " ".join(f"notice{i}" for i in range(18))  # 16 of about 40 shingles
+    rows = [(i, line + " " + " ".join(f"own{i}w{j}" for j in range(24))) for i in range(60)]
+    rows += [(900, rows[7][1] + " more")]
+    found, scratch = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.id for r in found.collect()) == [7, 900]
+    assert scratch._n < 30
+
+
+def edited_texts():
+    """Texts of 8 to 200 words, of which many are about as alike as the threshold, and lines that many share."""
+    r = random.Random(5)
+    lines = [" ".join(f"line{k}w{i}" for i in range(12)) for k in range(3)]
+    out = []
+    for i in range(60):
+        own = [f"t{i}w{j}" for j in range(r.choice((8, 15, 30, 50, 64, 68, 90, 130, 200)))]
+        for _ in range(4):
+            w = own[: r.randint(len(own) // 2, len(own))]
+            for _ in range(r.randint(0, max(1, len(w) // 12))):
+                w[r.randrange(len(w))] = f"e{r.random()}"
+            out.append(" ".join(w) + r.choice(["", " ", *lines]))
+    return dict(enumerate(out))
+
+
+def test_whole_sketches_against_brute_force_in_slices(spark, monkeypatch):
+    """Pairs of whole sketches are exact, and pairs tried in slices are all tried."""
+    texts = edited_texts()
+    short = {k for k, t in texts.items() if len(shingles(t)) <= nd.K}
+    for rows, share in ((texts, 0.98), ({k: texts[k] for k in short}, 1)):
+        want, edges = brute_groups(rows)
+        docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+        for most in (nd.PAIRS_PER_POSTING, 0.02):
+            monkeypatch.setattr(nd, "PAIRS_PER_POSTING", most)
+            monkeypatch.setattr(nd, "LEFT_BY_LEADERS", 0.75 if most > 1 else 0)
+            got = {r.doc_id: r.group_id for r in nd.duplicate_groups(docs).collect()}
+            assert sum(got.get(a) is not None and got.get(a) == got.get(b) for a, b in edges) >= share * len(edges)
+            assert all(want[a] == want[g] for a, g in got.items())
