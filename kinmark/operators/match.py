@@ -1,8 +1,8 @@
 """Candidates for many query records at once: identifier lookup, then text levels as joins.
 
-The text index is two tables: ``postings`` (field, term, ident, tf) and ``lengths`` (field, ident, len).
-Query terms meet index terms through deletion keys: two terms within k edits share a key made by
-deleting at most k characters, so the fuzzy join is an equi-join over distinct terms,
+The text index is two tables: ``words`` (ident, field, len, terms), a row for each field with its terms in order, and
+``vocabulary`` (field, term, df). Query terms meet index terms through deletion keys: two terms within k edits share a
+key made by deleting at most k characters, so the fuzzy join is an equi-join over distinct terms,
 checked afterwards by the edit distance (a swap of neighbours counts as one edit). Terms
 of 1-2 characters match exactly, of 3-5 with one edit, and longer ones with two. Index terms above ``LONG``
 characters have too many deletions: two edits, even swaps, leave one of their five segments untouched and at most two
@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..functions.edits import deletion_keys, within_edits
 from ..schema import ID_TYPES
 from ..sources.working import written
 
@@ -52,46 +53,24 @@ def names_text(contribs: str = "contribs") -> Column:
     return F.array_join(F.transform(contribs, lambda c: c["raw_name"]), " ")
 
 
-def text_index(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings and field lengths of titles and author names."""
-    fields = F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("names").alias("field"), names_text().alias("text")))
-    words = catalog.select("ident", F.explode(fields).alias("x")).select("ident", "x.field", s.terms("x.text").alias("terms")).where(F.size("terms") > 0)
-    postings = words.select("ident", "field", F.explode("terms").alias("term")).groupBy("field", "term", "ident").agg(F.count("*").alias("tf"))
-    return postings, words.select("field", "ident", F.size("terms").alias("len"))
+def text_index(catalog: DataFrame, fields: tuple[str, ...] = ("title", "names")) -> tuple[DataFrame, DataFrame]:
+    """Words and vocabulary of titles and author names, written once: texts are split a single time, and only distinct terms are shuffled."""
+    texts = {"title": F.col("title"), "names": names_text()}
+    each = F.array(*[F.struct(F.lit(n).alias("field"), texts[n].alias("text")) for n in fields])
+    split = catalog.select("ident", F.explode(each).alias("x")).select("ident", "x.field", s.terms("x.text").alias("terms"))
+    words = written(split.select("ident", "field", F.size("terms").alias("len"), "terms"), "words").where("len > 0")
+    once = words.groupBy("field", "ident").count().where("count > 1").isEmpty()
+    if once:
+        terms = words.select("field", F.explode(F.array_distinct("terms")).alias("term"))
+    else:  # records of one ident count once for a term
+        terms = words.select("field", "ident", F.explode("terms").alias("term")).distinct().select("field", "term")
+    return words, written(terms.groupBy("field", "term").agg(F.count("*").alias("df")), "vocabulary")
 
 
 def edits_allowed(term: Column) -> Column:
     return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
 
 
-def deletions(term: Column, k: int) -> Column:
-    """The term and what is left after deleting up to k of its characters."""
-
-    def once(t: Column) -> Column:
-        gone = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
-        return F.when(F.length(t) > 0, gone).otherwise(F.array().cast("array<string>"))
-
-    out, level = F.array(term), F.array(term)
-    for _ in range(k):
-        level = F.array_distinct(F.flatten(F.transform(level, once)))
-        out = F.concat(out, level)
-    return F.array_distinct(out)
-
-
-def swaps(term: Column) -> Column:
-    """The term with two neighbours exchanged, at every place."""
-    at = F.when(F.length(term) > 1, F.sequence(F.lit(1), F.length(term) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.lit(1)), F.substring(term, i, F.lit(1)), F.substring(term, i + 2, F.length(term))))
-
-
-def within_edits(a: Column, b: Column, k: Column) -> Column:
-    """Whether a is within k (0, 1 or 2) edits of b, where a swap of neighbours is one edit."""
-    two = F.exists(swaps(a), lambda x: F.levenshtein(x, b, 1) >= 0) | F.exists(swaps(b), lambda x: F.levenshtein(a, x, 1) >= 0)
-    double = F.exists(swaps(a), lambda x: F.array_contains(swaps(x), b))
-    near = F.levenshtein(a, b, 2)
-    return (a == b) | ((k >= 1) & ((near == 1) | ((near == 2) & F.array_contains(swaps(a), b)))) | ((k >= 2) & ((near >= 0) | two | double))
-
-
 def _segment(length: Column, j: Column) -> tuple[Column, Column]:
     """First place (from 1) and size of a term's j-th segment."""
     a, b = F.floor(j * length / SEGMENTS), F.floor((j + 1) * length / SEGMENTS)
@@ -129,36 +108,49 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ``terms``: (field, qterm), ``vocabulary``: (field, term); both distinct. Index terms are keyed for
     two deletions only if they are long enough for a query term with two edits to reach them.
     """
-    q = terms.select("field", "qterm", edits_allowed(F.col("qterm")).alias("k"))
-    keys = F.when(F.col("k") == 0, F.array("qterm")).when(F.col("k") == 1, deletions(F.col("qterm"), 1)).otherwise(F.concat(F.when(F.length("qterm") <= LONG + 2, deletions(F.col("qterm"), 2)).otherwise(F.array().cast("array<string>")), segment_probes(F.col("qterm"))))
-    v = vocabulary.select("field", "term", F.explode(F.when(F.length("term") > LONG, segment_keys(F.col("term"))).when(F.length("term") >= 4, deletions(F.col("term"), 2)).when(F.length("term") >= 2, deletions(F.col("term"), 1)).otherwise(F.array("term"))).alias("key"))
+    hashed = lambda pieces: F.transform(pieces, lambda x: F.xxhash64(x))
+    none = F.array().cast("array<bigint>")
+    size = F.length("qterm")
+    # Keys and checks cost far more than their bytes, so terms are spread over all cores; not over more tasks, as keys are made many at once.
+    tasks = 2 * max(vocabulary.sparkSession.sparkContext.defaultParallelism, 8)
+    q = terms.select("field", "qterm", edits_allowed(F.col("qterm")).alias("k")).repartition(tasks, "field", "qterm")
+    keys = F.concat(deletion_keys("qterm", F.when(size <= LONG + 2, F.col("k")).otherwise(-1)), F.when(size >= LONG - 1, hashed(segment_probes(F.col("qterm")))).otherwise(none))
+    long = F.length("term") > LONG
+    depth = F.when(long, -1).when(F.length("term") >= 4, 2).when(F.length("term") >= 2, 1).otherwise(0)
+    v = vocabulary.select("field", "term").repartition(tasks, "field", "term")
+    v = v.select("field", "term", F.explode(F.concat(deletion_keys("term", depth), F.when(long, hashed(segment_keys(F.col("term")))).otherwise(none))).alias("key"))
     met = q.withColumn("key", F.explode(keys)).join(v, ["field", "key"]).select("field", "qterm", "term", "k").distinct()
-    return met.where(within_edits(F.col("qterm"), F.col("term"), F.col("k"))).select("field", "qterm", "term")
+    return met.where(within_edits("qterm", "term", "k")).select("field", "qterm", "term")
+
+
+def same_terms(terms: DataFrame) -> DataFrame:
+    """Rows (field, qterm, term) of exact matching."""
+    return terms.select("field", "qterm", F.col("qterm").alias("term"))
 
 
-def field_matches(queries: DataFrame, postings: DataFrame, lengths: DataFrame, fuzzy: bool) -> DataFrame:
+def field_matches(queries: DataFrame, words: DataFrame, vocabulary: DataFrame, near: DataFrame) -> DataFrame:
     """Rows (query, field, ident, score): catalog fields that have every term of the query's field.
 
-    ``queries``: (query, field, qterm), distinct. The score adds, over the query's terms, the best BM25 weight of a
-    matching term.
+    ``queries``: (query, field, qterm), distinct; ``near``: (field, qterm, term), the terms that stand for each query
+    term. The score adds, over the query's terms, the best BM25 weight of a matching term.
     """
     wanted = queries.groupBy("query", "field").agg(F.count("*").alias("wanted"))
-    if fuzzy:
-        near = fuzzy_terms(queries.select("field", "qterm").distinct(), postings.select("field", "term").distinct())
-    else:
-        near = queries.select("field", "qterm", F.col("qterm").alias("term")).distinct()
-    near = written(near.join(postings.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"]), "near")
+    near = written(near.join(vocabulary, ["field", "term"]), "near")
     # A query that lacks a term everywhere is out; of the others only the documents of the rarest term are candidates,
-    # so a frequent term's postings are never joined with all queries that have it.
+    # so a frequent term's documents are never joined with all queries that have it.
     reach = near.groupBy("field", "qterm").agg(F.sum("df").alias("reach"))
     each = W.partitionBy("query", "field")
     live = queries.join(reach, ["field", "qterm"]).withColumn("have", F.count("*").over(each)).join(wanted, ["query", "field"]).where("have = wanted")
     ranked = live.withColumn("turn", F.row_number().over(each.orderBy("reach", "qterm"))).select("query", "field", "qterm", "wanted", "turn")
     asked = written(ranked.join(near, ["field", "qterm"]), "asked")
-    candidates = asked.where("turn = 1").join(postings.select("field", "term", "ident"), ["field", "term"]).select("query", "field", "ident").distinct()
-    found = candidates.join(postings, ["field", "ident"]).join(asked.select("query", "field", "term", "qterm", "df", "wanted"), ["query", "field", "term"])
-    total = lengths.groupBy("field").agg(F.count("*").alias("docs"), (F.sum("len") / F.count("*")).alias("mean"))
-    scored = found.join(lengths, ["field", "ident"]).join(total, "field")
+    once = words.select("field", "ident", F.explode(F.array_distinct("terms")).alias("term"))
+    candidates = written(once.join(asked.where("turn = 1").select("query", "field", "term"), ["field", "term"]).select("query", "field", "ident").distinct(), "candidates")
+    terms = candidates.join(words, ["field", "ident"]).select("query", "field", "ident", "len", F.explode("terms").alias("term"))
+    found = terms.join(asked.select("query", "field", "term", "qterm", "df", "wanted"), ["query", "field", "term"])
+    # Of records with one ident the shortest has the largest weight, and their terms are counted together.
+    counted = found.repartition("query", "ident").groupBy("query", "field", "ident", "qterm", "term").agg(F.count("*").alias("tf"), F.min("len").alias("len"), F.first("df").alias("df"), F.first("wanted").alias("wanted"))
+    total = words.groupBy("field").agg(F.count("*").alias("docs"), (F.sum("len") / F.count("*")).alias("mean"))
+    scored = counted.join(F.broadcast(total), "field")  # a row for each field
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     per_term = scored.groupBy("query", "field", "ident", "qterm").agg(F.max(F.round(weight, 9)).alias("w"), F.first("wanted").alias("wanted"))
@@ -177,20 +169,28 @@ def match_releases(queries: DataFrame, catalog: DataFrame, size: int | None = 5)
 
     level: 0 lookup, 1 title and authors, 2 title or authors, 3 exact title terms, 4 fuzzy title terms. Queries
     without a title or contributors skip levels 1 and 2. Of equal scores the smaller ident comes first.
-    The index is written once and read by every level; a level works only on the queries that earlier ones left.
+    The index is written once and read by every level, and so are the index terms near each query term; a level works
+    only on the queries that earlier ones left.
     """
-    postings, lengths = (written(x, "index") for x in text_index(catalog))
+    words, vocabulary = text_index(catalog)
     looked = written(match_by_identifier(queries, catalog).select("query", "ident", F.lit(0).alias("level"), F.lit(0.0).alias("score")), "looked")
     open_ = queries.join(looked.select(F.col("query").alias("ident")), "ident", "left_anti")
     terms = written(query_terms(open_), "terms")
     both = open_.where("title is not null and contribs is not null").select(F.col("ident").alias("query"))
-    fuzzy = written(field_matches(terms.join(both, "query", "left_semi"), postings, lengths, True), "fields")
+    asked = terms.join(both, "query", "left_semi")
+    sought = lambda rows: rows.select("field", "qterm").distinct()
+    near = written(fuzzy_terms(sought(asked), vocabulary), "near")
+    fuzzy = written(field_matches(asked, words, vocabulary, near), "fields")
     either = fuzzy.groupBy("query", "ident").agg(F.count("*").alias("fields"), F.sum("score").alias("score"))
     # Level 2 is the union of both fields, so what level 1 found belongs to it too; level 1 is tried first.
     one_two = either.select("query", "ident", F.when(F.col("fields") == 2, 1).otherwise(2).alias("level"), "score")
     left = terms.where("field = 'title'").join(fuzzy.select("query"), "query", "left_anti")
-    exact = written(field_matches(left, postings, lengths, False), "exact")
-    last = field_matches(left.join(exact.select("query"), "query", "left_anti"), postings, lengths, True)
+    exact = written(field_matches(left, words, vocabulary, same_terms(sought(left))), "exact")
+    rest = written(left.join(exact.select("query"), "query", "left_anti"), "rest")
+    new = written(sought(rest).join(sought(asked), ["field", "qterm"], "left_anti"), "new")
+    if not new.isEmpty():  # terms of queries that skipped levels 1 and 2
+        near = near.unionByName(fuzzy_terms(new, vocabulary))
+    last = field_matches(rest, words, vocabulary, near.join(sought(rest), ["field", "qterm"], "left_semi"))
     levels = [looked, one_two, exact.select("query", "ident", F.lit(3).alias("level"), "score"), last.select("query", "ident", F.lit(4).alias("level"), "score")]
     every = reduce(DataFrame.unionByName, levels)
     first = F.min("level").over(W.partitionBy("query"))

@@ -190,3 +190,36 @@ def test_clusters_without_idents_and_of_any_size(spark):
     assert one.n == 12_001 and one.ids == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
     first, again = (cluster.cluster_documents(records.repartition(n)).select("v").first().v for n in (1, 7))
     assert first == again
+
+
+def test_edits_and_keys_by_brute_force():
+    import random
+
+    import pyarrow as pa
+    from kinmark.functions.edits import deletion_keys, edits
+
+    def changed(x):
+        out = {x}
+        for i in range(len(x) + 1):
+            out |= {x[:i] + c + x[i + j :] for c in ("", "a", "b", "c") for j in (0, 1)} | {x[:i] + x[i : i + 2][::-1] + x[i + 2 :]}
+        return out
+
+    r = random.Random(2)
+    for n in [*range(9)] * 2:
+        a = "".join(r.choice("abc") for _ in range(n))
+        one = changed(a)
+        two = set().union(*map(changed, one))
+        others = sorted(two) + ["".join(r.choice("abc") for _ in range(max(0, n + r.randint(-2, 2)))) for _ in range(300)]
+        assert [min(x, 3) for x in edits([a] * len(others), others)] == [0 if b == a else 1 if b in one else 2 if b in two else 3 for b in others]
+
+    deleted = lambda x, k: {x} if k == 0 else {x}.union(*(deleted(x[:i] + x[i + 1 :], k - 1) for i in range(len(x))))
+    words = ["", "a", "aa", "aba", "é\U0001f600x"] + ["".join(r.choice("abcd") for _ in range(r.randint(2, 26))) for _ in range(80)]
+    depths = [i % 4 - 1 for i in range(len(words))]
+    made = deletion_keys.func(pa.array(words), pa.array(depths, pa.int32())).to_pylist()
+    known = {}
+    for word, depth, keys in zip(words, depths, made):
+        rest = deleted(word, depth) if depth >= 0 else set()
+        assert len(set(keys)) == len(keys) == len(rest)
+        for x in rest:
+            known.setdefault(x, []).append(set(keys))
+    assert all(set.intersection(*v) for v in known.values())
